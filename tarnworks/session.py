@@ -68,7 +68,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def ship_package(spark: SparkSession) -> None:
