@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnworks.llm import bpe, decontam, ngram_join, sharding, url_filter
+from tarnworks.llm import bpe, chat, decontam, langid, media, ngram_join, quality, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,38 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), name="score", drop_text=True)
+    return scored.select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.drop("lang"), langid.fit(docs), names=("lang_pred", "score"), drop_text=True)
+    return found.select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(*chat.prefix_tree(turns.unionByName(extra)))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -41,7 +68,12 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_media_columns": op5_media_columns,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_url_filters": op10_url_filters,
 }
 
