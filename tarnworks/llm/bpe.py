@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are handled in slices of about this many characters, and cached words are forgotten beyond this many.
 SLICE_CHARS = 6_000_000
@@ -252,13 +253,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     With digests, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256 take their place.
     """
-    own = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else [f"`{ids}` array<int>"] + [f"`{decoded}` binary"] * bool(decoded)
-    names = [o.split(" ")[0].strip("`") for o in own]
+    own = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
+    names = list(own)
     # digests need no more of the text than its own batch, so that column isn't sent back
     keep = [c for c in docs.columns if c not in names and not (digests and c == text)]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for o in own:
-        schema = schema.add(o.split(" ")[0].strip("`"), o.split(" ", 1)[1])
+    for name, kind in own.items():
+        schema = schema.add(name, kind)
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
