@@ -60,7 +60,7 @@ def splitters(sized: DataFrame, parts: int, tolerance: float, key: str = "key",
                 below = above
             done |= dict.fromkeys(todo, lo + (1 << bits))
         open_at = after
-    return [done[i] for i in range(1, parts)]
+    return [min(done[i], 2**KEY_BITS - 1) for i in range(1, parts)]
 
 
 def shard_key(doc_id: Column, text: Column) -> Column:
