@@ -21,12 +21,24 @@ def _sorted_ring(ring: DataFrame) -> DataFrame:
     return ring.agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("ring"))
 
 
+#: The circle is cut into cells of 2 ** CELL_BITS positions, by which keys and arcs are joined.
+CELL_BITS = 20
+
+
+def arcs(ring: DataFrame) -> DataFrame:
+    """(lo, hi, nodes): keys at positions lo <= p < hi have their successors in this order, the nearest first."""
+    turned = lambda i: F.array_distinct(F.transform(F.concat(F.slice("ring", i + 1, F.size("ring")), F.slice("ring", F.lit(1), i)), lambda x: x["node"]))
+    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("ring"), i - 1)["pos"])
+    inner = F.transform("ring", lambda x, i: F.struct(before(i).alias("lo"), x["pos"].alias("hi"), turned(i).alias("nodes")))
+    last = F.array(F.struct(F.element_at("ring", -1)["pos"].alias("lo"), F.lit(4294967296).alias("hi"), turned(F.lit(0)).alias("nodes")))
+    return _sorted_ring(ring).where(F.size("ring") > 0).select(F.explode(F.concat(inner, last)).alias("x")).select("x.*").where("lo < hi")
+
+
 def owners(keys: DataFrame, ring: DataFrame, copies: int = 1) -> DataFrame:
-    """keys with nodes: the first distinct nodes strictly clockwise of each key. The ring, nodes times virtual nodes, is sent to every task."""
-    wide = keys.crossJoin(F.broadcast(_sorted_ring(ring))).withColumn("__pos", position(F.col("key")))  # the ring is one row
-    turned = F.concat(F.filter("ring", lambda x: x["pos"] > F.col("__pos")), F.filter("ring", lambda x: x["pos"] <= F.col("__pos")))
-    names = F.array_distinct(F.transform(turned, lambda x: x["node"]))
-    return wide.withColumn("nodes", F.slice(names, 1, copies)).drop("ring", "__pos")
+    """keys with nodes: the first distinct nodes strictly clockwise of each key."""
+    cells = arcs(ring).withColumn("cell", F.explode(F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS)))).withColumn("nodes", F.slice("nodes", 1, copies))
+    placed = keys.withColumn("__pos", position(F.col("key"))).withColumn("cell", F.shiftright("__pos", CELL_BITS))
+    return placed.join(cells, "cell").where("__pos >= lo AND __pos < hi").drop("cell", "__pos", "lo", "hi")
 
 
 def load(ring: DataFrame) -> DataFrame:
