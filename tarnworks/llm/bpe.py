@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts are handled in slices of about this many characters, and cached words are forgotten beyond this many.
-SLICE_CHARS = 6_000_000
-MAX_WORDS = 700_000
+SLICE_CHARS = 2_000_000
+MAX_WORDS = 300_000
 #: Words of one query.
 TOGETHER = 20_000
 
@@ -143,7 +143,7 @@ class Codec:
         self.ranks = {t.decode(): i for t, i in ranks.items() if _is_text(t)}
         self.find = regex.compile(pattern).findall
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._fill("merges", merge_table(ranks))
         self._fill("vocab", {"id": pa.array(ranks.values(), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self.forget()
@@ -263,6 +263,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tarnworks.llm.features import trim
+
         own_codec = codec(path, pattern)
         for batch in batches:
             texts = batch.column("__text").to_pylist()
@@ -277,5 +279,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                     columns.append(pa.array([x.astype(np.int32) for x in got], pa.list_(pa.int32())))
                     columns += [pa.array(back, pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays(columns, names=keep + names)
+        own_codec.forget()
+        trim()
 
     return given.mapInArrow(run, schema)

@@ -30,12 +30,12 @@ from tarnworks.llm.components import components
 from tarnworks.session import plan_bytes, stash, unstash
 
 #: Texts are hashed in slices of about this many characters; a pack holds about this many n-grams.
-SLICE_CHARS = 2_000_000
-PACK_NGRAMS = 3_000_000
+SLICE_CHARS = 1_000_000
+PACK_NGRAMS = 1_500_000
 #: An n-gram is common in a pack if at least 8 and one in this many of its classes have it.
 COMMON_IN = 500
 #: One hash bucket for about this many bytes of input.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 #: Rounds with hubs before the exact round.
 HUB_ROUNDS = 2
 
@@ -164,6 +164,7 @@ def _pack(n: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tarnworks.llm.bpe import slices
+        from tarnworks.llm.features import trim
 
         docs: list[tuple] = []
         sets: dict[int, np.ndarray] = {}
@@ -181,6 +182,7 @@ def _pack(n: int, bits: int):
                     yield from flush(docs, sets)
                     docs, sets, held = [], {}, 0
         yield from flush(docs, sets)
+        trim()
 
     return run
 
@@ -203,6 +205,8 @@ def _meet(bits: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(classes), kind, np.int32)), docs, pa.array(classes, pa.int64(), mask=classes < 0), pa.array(sizes, pa.int32()), keys], names=["kind", "doc_id", "class", "size", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tarnworks.llm.features import trim
+
         held: dict[int, list] = {}
         for got in batches:
             for row in got.to_pylist():
@@ -252,6 +256,7 @@ def _meet(bits: int):
             for i in range(0, len(runs), 5000):
                 at = np.array([a for a, _ in runs[i : i + 5000]])
                 yield batch(1, pa.nulls(len(at), pa.int64()), names[at], sizes[at], pa.array([keys[a:b].tobytes() for a, b in runs[i : i + 5000]], pa.binary()))
+        trim()
 
     return run
 
