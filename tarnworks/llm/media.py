@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnworks.llm.features import text_slices
+from tarnworks.llm.bpe import slices
+from tarnworks.llm.features import text_slices, trim
 
-SLICE_CHARS = 3_000_000
+#: Texts and images are handled in slices of about this size.
+SLICE_CHARS, SLICE_BYTES = 1_000_000, 1_000_000
 ROW = 64
 MOST_ROWS = 8191
 #: DC categories by length of code, and the one AC symbol, end of block.
@@ -269,18 +271,21 @@ def describe(stored: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            images = batch.column(media).to_pylist()
-            thumbs = thumbnails(images)
-            payloads = [p.tobytes() for p, _, _ in thumbs]
-            columns = [
-                pa.array([len(p) for p in payloads], pa.int64()),
-                pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()),
-                pa.array([len(x) for x in images], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in images]),
-                pa.array([f"{w}x{h} {thumbnail_hashes(p)}" for p, w, h in thumbs]),
-            ]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in out], *columns], names=[*out, *own])
+            stored_images = batch.column(media).to_pylist()
+            for a, b in slices(stored_images, SLICE_BYTES):
+                images = stored_images[a:b]
+                thumbs = thumbnails(images)
+                payloads = [p.tobytes() for p, _, _ in thumbs]
+                columns = [
+                    pa.array([len(p) for p in payloads], pa.int64()),
+                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
+                    pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()),
+                    pa.array([len(x) for x in images], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in images]),
+                    pa.array([f"{w}x{h} {thumbnail_hashes(p)}" for p, w, h in thumbs]),
+                ]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in out], *columns], names=[*out, *own])
+        trim()
 
     schema = given.drop(media).schema
     for name, kind in zip(own, ("long", "string", "long", "long", "string", "string"), strict=True):
