@@ -38,6 +38,8 @@ COMMON_IN = 500
 BUCKET_BYTES = 4_000_000
 #: Rounds with hubs before the exact round.
 HUB_ROUNDS = 2
+#: 64-bit words of a set's parity bitmap.
+PARITY_WORDS = 16
 
 _RNG = np.random.default_rng(20_240_501)
 _BYTE = _RNG.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -266,6 +268,12 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
+def parity(keys: np.ndarray) -> np.ndarray:
+    """Bit i of the bitmap: whether an odd number of keys hash to i. Bitmaps of two sets differ in at most as many bits as there are keys of one set alone."""
+    odd = np.bincount((mix(keys) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,9 +283,9 @@ def _prefixes(num: int, den: int):
                 first = prefix_length(size, num, den) - (size - len(keys))
                 if first > 0:
                     # with the upper bit turned, signed numbers have the order of the keys
-                    out.append((name, size, keys.tobytes(), (keys[:first] ^ np.uint64(1 << 63)).view(np.int64)))
+                    out.append((name, size, keys.tobytes(), (keys[:first] ^ np.uint64(1 << 63)).view(np.int64), parity(keys)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["class", "size", "keys", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["class", "size", "keys", "prefix", "parity"])
 
     return run
 
@@ -334,16 +342,15 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: in
     rows = met.where("kind = 0").select("doc_id", F.col("class"), F.col("size").cast("long").alias("n_shingles"))
     # a class of many copies has the same common n-grams in many packs
     packs = met.where("kind = 1").select("class", "size", "keys").union(met.where("kind = 2").select("class", "size", "keys").distinct())
-    sets = stash(packs.groupBy("class").agg(F.first("size").alias("size"), F.collect_list("keys").alias("keys")).mapInArrow(_prefixes(num, den), "class long, size int, keys binary, prefix array<long>"), "sets")
+    sets = stash(packs.groupBy("class").agg(F.first("size").alias("size"), F.collect_list("keys").alias("keys")).mapInArrow(_prefixes(num, den), "class long, size int, keys binary, prefix array<long>, parity array<long>"), "sets")
     # positions count from 0; n-grams of one class alone come before those of its keys
     unshared = F.col("size") - (F.length("keys") / 8).cast("int")
     placed = sets.select("class", "size", "prefix", unshared.alias("before"), F.posexplode("prefix").alias("nth", "key")).withColumn("x", F.struct("class", "size", (F.col("before") + F.col("nth")).alias("at")))
     links, roots = None, None
     for turn in range(HUB_ROUNDS + 1):
-        postings = placed.select("key", "x", *["prefix", "before"] * (turn == HUB_ROUNDS))
-        here = postings
+        here = placed.select("key", "x")
         if roots is not None:
-            here = postings.join(roots.withColumnRenamed("node", "class").alias("r"), F.col("x.class") == F.col("r.class"), "left").select(*postings.columns, F.coalesce("root", "x.class").alias("root"))
+            here = here.join(roots.withColumnRenamed("node", "class").alias("r"), F.col("x.class") == F.col("r.class"), "left").select("key", "x", F.coalesce("root", "x.class").alias("root"))
             open_keys = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
             here = here.join(open_keys, "key", "left_semi")
             here = stash(here, "open")
@@ -352,19 +359,17 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: in
             hubs = here.groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
             pairs = here.join(hubs, "key").where((F.col("x.class") != F.col("y.class")) & _fits(num, den))
         else:
-            # every class outside the list's largest component, against all classes of other components. A pair is made
-            # only where its first common item is the list's, so once, and if the common items of both prefixes, and all
-            # that may follow behind the shorter reach of them, suffice
+            # every class outside the list's largest component, against all classes of other components, if as many
+            # common items as they need are possible by their bitmaps
+            marks = sets.select(F.col("class").alias("of"), (F.length("keys") / 8).cast("int").alias("shared"), "parity")
+            marked = here.join(marks, F.col("x.class") == F.col("of")).drop("of")
             parts = here.groupBy("key", "root").agg(F.count("*").alias("n"))
             main = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-            tagged = here.join(main, "key")
-            minor = tagged.where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("root_y"), F.col("prefix").alias("prefix_y"), F.col("before").alias("before_y"))
-            common = F.array_intersect("prefix", "prefix_y")
-            first = F.get(common, F.lit(0)) == F.col("key")
-            reach = F.least(F.element_at("prefix", -1), F.element_at("prefix_y", -1))
-            behind = lambda size, before, prefix: F.col(size) - F.col(before) - F.size(F.filter(prefix, lambda k: k <= reach))
-            enough = F.size(common) + F.least(behind("x.size", "before", "prefix"), behind("y.size", "before_y", "prefix_y")) >= F.ceil(num * (F.col("x.size") + F.col("y.size")) / F.lit(num + den))
-            pairs = tagged.join(minor, "key").where(first & enough & (F.col("root") != F.col("root_y")) & ((F.col("root") == F.col("main")) | (F.col("x.class") < F.col("y.class"))) & _fits(num, den))
+            tagged = marked.join(main, "key")
+            minor = tagged.where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("root_y"), F.col("shared").alias("shared_y"), F.col("parity").alias("parity_y"))
+            differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity_y", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+            enough = F.col("shared") + F.col("shared_y") - differ >= 2 * F.ceil(num * (F.col("x.size") + F.col("y.size")) / F.lit(num + den))
+            pairs = tagged.join(minor, "key").where((F.col("root") != F.col("root_y")) & ((F.col("root") == F.col("main")) | (F.col("x.class") < F.col("y.class"))) & _fits(num, den) & enough)
         pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
         found = stash(_linked(pairs, sets, num, den), "links")
         if roots is not None:

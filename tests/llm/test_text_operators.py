@@ -121,3 +121,15 @@ def test_language_of_every_row(spark):
     assert np.mean([r.lang_pred == r.lang for r in got if r.doc_id is not None and r.doc_id < 240]) > 0.95
     assert {r.lang_pred for r in got if not any(map(str.isalpha, r.text or ""))} == {"und"}
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
+
+
+def test_parity_bitmaps_bound_what_two_sets_have_alone():
+    from tarnworks.llm.ngram_join import parity
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 6000, np.uint64)
+    for _ in range(60):
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, 4000))) for _ in range(2))
+        differ = int(np.bitwise_count(parity(a) ^ parity(b)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+    assert not parity(np.zeros(0, np.uint64)).any()
