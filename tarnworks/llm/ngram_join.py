@@ -8,8 +8,8 @@
    one class alone come before all others and match nothing, so only their number matters.
 4. Classes meet on the shared part of their prefixes. The first rounds verify each class of a posting list against one
    hub of the list; lists whose classes are all connected by then need nothing more. In the other lists every class
-   outside the largest component is verified against all others outside its own component. No link between components
-   is lost, and a group of near copies needs about as many verifications as it has members.
+   outside the largest component meets all others outside its own component; pairs whose parity bitmaps allow enough
+   common items are verified. No link between components is lost, and a group of near copies needs about as many verifications as it has members.
 
 Hashes have 48 bits plus those of the bucket. Documents without a word are in no class and linked with nothing. Null
 texts have no words. Repeated rows are kept: one row out for each row in. A null doc_id gets its component like others,
