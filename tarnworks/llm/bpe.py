@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -136,22 +136,32 @@ class Codec:
     """
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
         import regex
 
         ranks = read_ranks(path)
         self.ranks = {t.decode(): i for t, i in ranks.items() if _is_text(t)}
         self.find = regex.compile(pattern).findall
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        self._fill("merges", merge_table(ranks))
-        self._fill("vocab", {"id": pa.array(ranks.values(), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
+        vocab = {"id": pa.array(ranks.values(), pa.int64()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())}
+        self.tables = {"merges": pa.table(merge_table(ranks)), "vocab": pa.table(vocab)}
         self.forget()
 
-    def _fill(self, name: str, columns: dict) -> None:
-        self.db.register("given", pa.table(columns))
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-        self.db.unregister("given")
+    @cached_property
+    def db(self):
+        import duckdb
+
+        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        for name, table in self.tables.items():
+            db.register("given", table)
+            db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+            db.unregister("given")
+        return db
+
+    def close(self) -> None:
+        """Forgets all and gives DuckDB's memory back, which it would keep between tasks; the next use opens it again."""
+        self.forget()
+        if "db" in self.__dict__:
+            self.__dict__.pop("db").close()
 
     def forget(self) -> None:
         self.pieces, self.piece_ids = Numbered(), Sequences()
@@ -279,7 +289,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                     columns.append(pa.array([x.astype(np.int32) for x in got], pa.list_(pa.int32())))
                     columns += [pa.array(back, pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays(columns, names=keep + names)
-        own_codec.forget()
+        own_codec.close()
         trim()
 
     return given.mapInArrow(run, schema)
