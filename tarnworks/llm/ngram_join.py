@@ -30,8 +30,8 @@ from tarnworks.llm.components import components
 from tarnworks.session import plan_bytes, stash, unstash
 
 #: Texts are hashed in slices of about this many characters; a pack holds about this many n-grams.
-SLICE_CHARS = 1_000_000
-PACK_NGRAMS = 1_500_000
+SLICE_CHARS = 500_000
+PACK_NGRAMS = 750_000
 #: An n-gram is common in a pack if at least 8 and one in this many of its classes have it.
 COMMON_IN = 500
 #: One hash bucket for about this many bytes of input.
