@@ -147,15 +147,44 @@ def lamport_edges(events: DataFrame) -> DataFrame:
     return own.union(sent.join(got, "message").select("cause", "effect"))
 
 
-def reaches(edges: DataFrame, source: int, rounds: int = 1000) -> DataFrame:
-    """(id): events that happen after `source`, by a frontier of distinct events."""
-    from tarnworks.session import stash
+def reaches(edges: DataFrame, source: int) -> DataFrame:
+    """(id): events that happen after `source`, by a frontier of distinct events; one round for each edge of the longest way."""
+    from tarnworks.session import stash, unstash
 
     spark = edges.sparkSession
     seen = frontier = spark.createDataFrame([(source,)], "id long")
-    for _ in range(rounds):
+    while True:
         nxt = stash(edges.join(frontier, F.col("cause") == F.col("id"), "left_semi").select(F.col("effect").cast("long").alias("id")).distinct().join(seen, "id", "left_anti"), "frontier")
         if not nxt.limit(1).count():
-            break
-        seen, frontier = seen.union(nxt), nxt
-    return seen.where(F.col("id") != source)
+            return seen.where(F.col("id") != source)
+        both = stash(seen.union(nxt), "seen")  # the plan of a long union would grow with each round
+        unstash(seen)
+        unstash(frontier)
+        seen, frontier = both, nxt
+
+
+def happens_after(events: DataFrame, source: int) -> DataFrame:
+    """(id): the events (see lamport_edges) that happen after `source`.
+
+    What is reached of a node is all from some seq on, so the state is the first reached seq of each node. A round follows
+    all messages sent from there on; an earliest way meets no node twice, so there are no more rounds than nodes.
+    """
+    from tarnworks.session import stash, unstash
+
+    start = events.where(F.col("id") == source).select(F.col("node").alias("at"), F.col("seq").alias("first"))
+    # null nodes are one node, as in lamport_edges
+    on_node = lambda c: F.col(c).eqNullSafe(F.col("at"))
+    sent = events.where("kind = 'send'").select(F.col("node").alias("sender"), F.col("seq").alias("sent"), "message")
+    got = events.where("kind = 'receive'").select(F.col("node").alias("receiver"), F.col("seq").alias("got"), "message")
+    hops = stash(sent.join(got, "message").select("sender", "sent", "receiver", "got"), "hops")
+    reached = stash(start, "reached")
+    while True:
+        new = hops.join(reached, on_node("sender") & (F.col("sent") >= F.col("first"))).groupBy(F.col("receiver").alias("at")).agg(F.min("got").alias("first"))
+        nxt = stash(reached.union(new).groupBy("at").agg(F.min("first").alias("first")), "reached")
+        was = reached.select(F.col("at").alias("node"), F.col("first").alias("was"))
+        earlier = nxt.join(was, on_node("node") & (F.col("was") <= F.col("first")), "left_anti").limit(1).count()
+        unstash(reached)
+        reached = nxt
+        if not earlier:
+            unstash(hops)
+            return events.join(reached, on_node("node") & (F.col("seq") >= F.col("first"))).where(F.col("id") != source).select(F.col("id").cast("long").alias("id"))

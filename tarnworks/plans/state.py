@@ -123,9 +123,8 @@ def lamport_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 60")
     kind = F.when(F.col("event_id") % 6 == 1, "send").when(F.col("event_id") % 6 == 4, "receive").otherwise("local")
-    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("node"), F.col("event_id").alias("seq"), F.expr("event_id div 6").alias("message"), kind.alias("kind"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("node"), F.col("event_id").alias("seq"), F.expr("event_id div 6").alias("message"), kind.alias("kind"))
 
 
 _TR = "t AS (SELECT event_id AS id, user_id % 5 AS node, event_id // 6 AS message, CASE event_id % 6 WHEN 1 THEN 'send' WHEN 4 THEN 'receive' ELSE 'local' END AS kind FROM events WHERE event_id < 60), e AS (SELECT cause, id AS effect FROM (SELECT id, lag(id) OVER (PARTITION BY node ORDER BY id) AS cause FROM t) WHERE cause IS NOT NULL UNION ALL SELECT s.id, r.id FROM t s JOIN t r ON s.message = r.message AND s.kind = 'send' AND r.kind = 'receive')"
@@ -133,9 +132,18 @@ _TR = "t AS (SELECT event_id AS id, user_id % 5 AS node, event_id // 6 AS messag
 
 @query(f"WITH RECURSIVE {_TR}, h(id) AS (SELECT effect FROM e WHERE cause = (SELECT min(id) FROM t) UNION SELECT effect FROM h JOIN e ON cause = h.id) SELECT id FROM h")
 def happens_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the first of the first 60 events, as in its SQL; happens_before_all has all events."""
+    trace = _trace(spark, sf_dir).where("id < 60")
+    return rp.happens_after(trace, trace.agg(F.min("id")).first()[0])
+
+
+_TR_ALL = "t AS (SELECT event_id AS id, user_id % 5 AS node, event_id // 6 AS message, CASE event_id % 6 WHEN 1 THEN 'send' WHEN 4 THEN 'receive' ELSE 'local' END AS kind FROM events), e AS (SELECT cause, id AS effect FROM (SELECT id, lag(id) OVER (PARTITION BY node ORDER BY id) AS cause FROM t) WHERE cause IS NOT NULL UNION ALL SELECT s.id, r.id FROM t s JOIN t r ON s.message = r.message AND s.kind = 'send' AND r.kind = 'receive')"
+
+
+@query(f"WITH RECURSIVE {_TR_ALL}, h(id) AS (SELECT effect FROM e WHERE cause = (SELECT min(id) FROM t) UNION SELECT effect FROM h JOIN e ON cause = h.id) SELECT id FROM h")
+def happens_before_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = _trace(spark, sf_dir)
-    first = trace.agg(F.min("id")).first()[0]
-    return rp.reaches(rp.lamport_edges(trace), first)
+    return rp.happens_after(trace, trace.agg(F.min("id")).first()[0])
 
 
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
