@@ -1,7 +1,9 @@
 """Operators do the whole job where the given tables are too small or too even to tell."""
 
+import hashlib
 import random
 
+from tarnworks.llm import chat
 from tarnworks.operators import replicas as rp
 
 
@@ -38,3 +40,39 @@ def test_happens_before_all_reads_the_whole_table(spark):
 
     got = entry.queries()["happens_before_all"](spark, "/root/testdata/sf0.001")
     assert got.agg({"id": "max"}).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").agg({"event_id": "max"}).first()[0]
+
+
+def test_chat_tree_of_long_conversations_keeps_keys_short(spark):
+    rng = random.Random(2)
+    long = [(7, i, "user", f"t{i}") for i in range(3000)]
+    branch = [(c, i, "user", f"t{i}" if i < 2990 - c else f"{c}") for c in (3, 9) for i in range(2995 - c)]
+    small = [(c if c != 120 else None, i, rng.choice(["user", "assistant"]), rng.choice("ab[<")) for c in range(100, 160) for i in range(rng.randrange(1, 7))]
+    rows = long + branch + small
+    rng.shuffle(rows)
+    nodes, chains = chat.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    tree = nodes.orderBy("packed_begin").collect()
+    assert max(len(n.path) for n in tree) <= 24
+    assert [n.path for n in tree] == sorted({n.path for n in tree})
+    assert [n.packed_begin for n in tree] == [0, *[n.packed_end for n in tree][:-1]]
+    parent, ways = {}, {}
+    for r in chains.collect():
+        ways.setdefault(r.conv_id, {})[r.nth] = r.node
+    for way in ways.values():
+        for nth, node in way.items():
+            assert parent.setdefault(node, way.get(nth - 1)) == way.get(nth - 1)
+    stack = []
+    for n in tree:  # depth first: the parent is on the way to the node before
+        while stack and stack[-1] != parent[n.node]:
+            stack.pop()
+        assert stack or parent[n.node] is None
+        stack.append(n.node)
+    assert len(parent) == len(tree)
+    by = {}
+    for c, i, r, t in sorted(rows, key=lambda x: (x[0] or 0, *x[1:])):
+        by.setdefault(c, []).append((r, t))
+    got = {r.conv_id: r for r in chat.read_back(nodes, chains).collect()}
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (got[c].n_turns, got[c].loss_sha256) == (len(turns), hashlib.sha256(loss.encode()).hexdigest())
