@@ -29,10 +29,19 @@ def project(events: DataFrame, folds: dict[str, Column], up_to: int | None = Non
     return seen.groupBy("stream_id").agg(*[c.alias(n) for n, c in folds.items()], F.max("event_id").alias("position"))
 
 
-def fold_ordered(events: DataFrame, start: Column, step, finish) -> DataFrame:
-    """State per stream by an order-dependent fold over its events, kept on the JVM."""
-    rows = F.sort_array(F.collect_list(F.struct("event_id", *[c for c in events.columns if c not in ("event_id", "stream_id")])))
-    return events.groupBy("stream_id").agg(rows.alias("rows")).select("stream_id", F.aggregate("rows", start, step, finish).alias("state"))
+def balances(events: DataFrame) -> DataFrame:
+    """(stream_id, state): the sum of the amounts in order of events, kept at 0 or more after each; null amounts add nothing.
+
+    A run of events with the sum s, whose least sum of first amounts is m, makes max(x + s, s - m) of x. A stream's events
+    are dealt over ranges, so a long one is many runs; a stream has a row of two numbers for each range it is in.
+    """
+    amount = F.coalesce(F.col("amount"), F.lit(0)).cast("long")
+    dealt = events.select("stream_id", "event_id", amount.alias("amount")).repartitionByRange("stream_id", "event_id", "amount").withColumn("run", F.spark_partition_id())
+    so_far = F.sum("amount").over(Window.partitionBy("stream_id", "run").orderBy("event_id", "amount").rowsBetween(Window.unboundedPreceding, 0))
+    runs = dealt.withColumn("so_far", so_far).groupBy("stream_id", "run").agg(F.sum("amount").alias("s"), F.min("so_far").alias("m"))
+    rows = runs.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("run", "s", "m"))).alias("rows"))
+    step = lambda x, r: F.greatest(x + r["s"], r["s"] - r["m"])
+    return rows.select("stream_id", F.aggregate("rows", F.lit(0).cast("long"), step).alias("state"))
 
 
 def snapshot_plus_tail(snapshot: DataFrame, tail: DataFrame, sums: list[str], position: str = "position") -> DataFrame:

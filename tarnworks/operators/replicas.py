@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: States that a run of a register's ops may start from and that it tells apart.
+MOVES = 64
+
 
 def gcounter(states: DataFrame) -> DataFrame:
     """Value of each key of grow-only counters (key, replica, n): the sum of each replica's greatest count."""
@@ -132,11 +138,75 @@ def delivered_prefix(slots: DataFrame) -> DataFrame:
     return slots.withColumn("rn", rn).groupBy("node").agg(F.sum(F.when(F.col("rn") == F.col("slot"), 1).otherwise(0)).alias("delivered"))
 
 
+def _register_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of ops of one key, in slot order, as maps of states: to `value` from every state after a write, else `was` to `becomes`."""
+    names = ["key", "part", "nth", "written", "value", "was", "becomes"]
+    current: object = _register_runs  # no key yet; None is one
+    written, value, moves = False, None, {}
+    out: list[tuple] = []
+    nth, part, key_type = 0, 0, pa.null()
+
+    def packed() -> pa.RecordBatch:
+        kinds = [key_type, pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        key_type = batch.column("key").type
+        for key, part, write, expected, new in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "write", "expected", "value")), strict=True):
+            if key != current or len(moves) >= MOVES:
+                if current is not _register_runs:
+                    out.append((current, part, nth, written, value, list(moves), list(moves.values())))
+                    nth += 1
+                current, written, value, moves = key, False, None, {}
+            if write:
+                written, value, moves = True, new, {}
+            elif written:
+                value = new if value == expected else value
+            else:
+                moves.setdefault(expected, expected)
+                for was, state in moves.items():
+                    if state == expected:
+                        moves[was] = new
+        if len(out) >= 1000:
+            yield packed()
+            out = []
+    if current is not _register_runs:
+        out.append((current, part, nth, written, value, list(moves), list(moves.values())))
+        yield packed()
+
+
+def _register_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state of each key after its runs, which come in order."""
+    current: object = _register_ends
+    state, kind = None, pa.null()
+    for batch in batches:
+        kind = batch.column("key").type
+        keys, values = [], []
+        for key, written, value, was, becomes in zip(*(batch.column(c).to_pylist() for c in ("key", "written", "value", "was", "becomes")), strict=True):
+            if key != current:
+                if current is not _register_ends:
+                    keys.append(current)
+                    values.append(state)
+                current, state = key, None
+            state = value if written else dict(zip(was, becomes, strict=True)).get(state, state)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(values, pa.string())], names=["key", "value"])
+    if current is not _register_ends:
+        yield pa.RecordBatch.from_arrays([pa.array([current], kind), pa.array([state], pa.string())], names=["key", "value"])
+
+
 def register_state(ops: DataFrame) -> DataFrame:
-    """(key, value) of a register after its ops (key, slot, kind write or cas, expected, value) in slot order."""
-    rows = F.sort_array(F.collect_list(F.struct("slot", "kind", "expected", "value")))
-    step = lambda a, x: F.when((x["kind"] == "write") | a.eqNullSafe(x["expected"]), x["value"]).otherwise(a)
-    return ops.groupBy("key").agg(rows.alias("r")).select("key", F.aggregate("r", F.lit(None).cast("string"), step).alias("value"))
+    """(key, value) of a register after its ops (key, slot, kind write or cas, expected, value) in slot order.
+
+    Ops are dealt by ranges of key and slot, so a hot key is many runs. A run is a map from state to state, of MOVES states
+    at most; one task goes through a key's runs.
+    """
+    kind = ops.schema["key"].dataType.simpleString()
+    strings = [F.col(c).cast("string").alias(c) for c in ("expected", "value")]
+    dealt = ops.select("key", "slot", "kind", *strings).repartitionByRange("key", "slot", "kind", "expected", "value").sortWithinPartitions("key", "slot", "kind", "expected", "value")
+    dealt = dealt.select("key", F.spark_partition_id().alias("part"), (F.col("kind") == "write").alias("write"), "expected", "value")
+    runs = dealt.mapInArrow(_register_runs, f"key {kind}, part int, nth long, written boolean, value string, was array<string>, becomes array<string>")
+    runs = runs.repartition("key").sortWithinPartitions("key", "part", "nth").select("key", "written", "value", "was", "becomes")
+    return runs.mapInArrow(_register_ends, f"key {kind}, value string")
 
 
 def lamport_edges(events: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def es_snapshot_plus_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def es_balance_never_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.when(F.col("o_orderkey") % 3 == 0, F.lit(-200).cast("long")).otherwise(F.col("o_orderkey") % 100)
     events = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("stream_id"), amount.alias("amount"))
-    return es.fold_ordered(events, F.lit(0).cast("long"), lambda a, x: F.greatest(F.lit(0).cast("long"), a + x["amount"]), lambda a: a)
+    return es.balances(events)
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tarnworks.llm import chat
+from tarnworks.operators import eventstore as es
 from tarnworks.operators import replicas as rp
 
 
@@ -76,3 +79,46 @@ def test_chat_tree_of_long_conversations_keeps_keys_short(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[c].n_turns, got[c].loss_sha256) == (len(turns), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def no_array_of_a_hot_group(df, hot):
+    """No row of an aggregate holds as many entries as the hot group has rows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [c for c in ("collect_list(struct(slot", "collect_list(struct(event_id") if c in plan]
+    return not gathered and df.count() < hot
+
+
+def test_register_state_of_a_hot_key(spark):
+    rng = random.Random(3)
+    values = [None, *(f"v{i}" for i in range(90))]
+    key = lambda i: 5 if i % 3 == 0 else None if i % 31 == 0 else i % 17
+    ops = [(key(i), i, "write" if key(i) != 5 and rng.random() < 0.1 or i == 0 else "cas", rng.choice(values), rng.choice(values)) for i in range(6000)]
+    ops += [(99, i, "cas", None if i == 0 else f"v{i - 1}", f"v{i}") for i in range(500)]  # a chain of states from no write on
+    want = {}
+    for k, _, kind, expected, value in ops:
+        state = want.setdefault(k, None)
+        want[k] = value if kind == "write" or state == expected else state
+    df = spark.createDataFrame(rng.sample(ops, len(ops)), "key long, slot long, kind string, expected string, value string")
+    got = rp.register_state(df)
+    assert {r.key: r.value for r in got.collect()} == want
+    assert no_array_of_a_hot_group(got, 2000)
+
+
+def test_balances_of_a_hot_stream(spark):
+    rng = random.Random(4)
+    events = [(i, 5 if i % 3 == 0 else None if i % 31 == 0 else i % 17, rng.randrange(-60, 55)) for i in range(6000)]
+    want = {}
+    for _, k, amount in events:
+        want[k] = max(0, want.get(k, 0) + amount)
+    df = spark.createDataFrame(rng.sample(events, len(events)), "event_id long, stream_id long, amount long")
+    got = es.balances(df)
+    assert {r.stream_id: r.state for r in got.collect()} == want
+    assert no_array_of_a_hot_group(got, 2000)
+    # ranges that AQE does not put together again: a stream of many runs
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.stream_id: r.state for r in es.balances(df).collect()} == want
+        ops = df.select(F.col("stream_id").alias("key"), F.col("event_id").alias("slot"), F.lit("cas").alias("kind"), F.when(F.col("event_id") > 20, F.lit("x")).alias("expected"), F.lit("x").alias("value"))
+        assert {r.value for r in rp.register_state(ops).where("key = 5").collect()} == {"x"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
