@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarnworks.llm import chat
+from tarnworks.llm import chat, url_filter
 from tarnworks.operators import eventstore as es
 from tarnworks.operators import replicas as rp
 
@@ -122,3 +122,24 @@ def test_balances_of_a_hot_stream(spark):
         assert {r.value for r in rp.register_state(ops).where("key = 5").collect()} == {"x"}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_relative_aliases_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    page = "http://a.org/d/e/f.html?q=1"
+    links = ["next.html", "?p=2", "../x", "../../../y", "./", "..", ".", "g/./h/../i", "/r/../s", "//b.org/t", "https://c.org/u?v=1", "z?u=http://d.org/", "#top"]
+    df = spark.createDataFrame([(i, x, "a.org", "/d/e/f.html", "?q=1") for i, x in enumerate(links)], "n int, link string, host string, path string, query string")
+    got = {r.n: r.to for r in df.select("n", url_filter.resolve(*(F.col(c) for c in ("link", "host", "path", "query"))).alias("to")).collect()}
+    assert got == {i: urljoin(page, x).split("#")[0] for i, x in enumerate(links)}
+
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    pages = [
+        (1, "http://m.org/a/go", refresh.format("stop.html")), (2, "http://m.org/a/stop.html", '<link rel="canonical" href="http://bad.net/1">'),
+        (3, "http://m.org/b?i=1", refresh.format("?i=2&amp;j=3")), (4, "http://m.org/b?i=2&j=3", '<link rel="canonical" href="http://bad.net/2">'),
+        (5, "http://m.org/c/d/e", '<base href="http://bad.net/k/">' + refresh.format("l")), (6, "http://m.org/c/d/f", refresh.format("../g")),
+        (7, "http://m.org/c/g", '<link rel="canonical" href="http://bad.net/3">'), (8, "http://m.org/h", refresh.format("mailto:x@bad.net")), (9, "http://m.org/free", refresh.format("free2")),
+    ]
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert [i for i in range(1, 10) if got[i] == "block"] == [1, 2, 3, 4, 5, 6, 7] and len(got) == 9
