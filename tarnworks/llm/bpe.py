@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,39 +26,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts are handled in slices of about this many characters, and cached words are forgotten beyond this many.
-SLICE_CHARS = 2_000_000
-MAX_WORDS = 300_000
-#: Words of one query.
-TOGETHER = 20_000
+from tarnworks.llm.features import slices, small_batches, spans, trim
 
+#: Texts are handled in slices of about this many characters, and cached words are forgotten beyond these numbers.
+SLICE_CHARS = 1_000_000
+MAX_WORDS, MAX_WORD_CHARS = 200_000, 8_000_000
+#: Bytes of the words of one encoding query, and ids of one decoding query.
+TOGETHER, IDS_TOGETHER = 200_000, 1_000_000
+#: Words of more bytes are encoded in windows of twice this size, each beginning this many bytes after the one before.
+STRIDE = 1024
+
+#: A pair's rule is new << 12 | length of new << 2 | kind, so the least rule is that of the least rank.
 ENCODE = """
 WITH RECURSIVE step(word, pos, id, len, done) AS (
-    SELECT word, pos, id, 1, false FROM base
+    SELECT word, pos, id, 1::BIGINT, false FROM base
     UNION ALL
-    (WITH pair AS (
-        SELECT l.word, l.pos, l.len, m.new, m.new_len, m.kind, m.new * 1099511627776 + l.pos AS rank_pos
-        FROM step l JOIN step r ON r.pos = l.pos + l.len JOIN merges m ON m.pair = l.id * 65536 + r.id
-        WHERE NOT l.done AND NOT r.done),
-    best AS (SELECT word, min(rank_pos) AS top FROM pair GROUP BY word),
-    hit AS (
-        SELECT p.*, p.rank_pos = b.top AS top
-        FROM pair p JOIN best b ON b.word = p.word AND p.new = b.top >> 40),
-    win AS (
-        SELECT pos, len, new, new_len FROM hit WHERE kind = 'all' OR kind = 'one' AND top
-        UNION ALL SELECT pos, len, new, new_len FROM (
+    (WITH live AS NOT MATERIALIZED (SELECT * FROM step WHERE NOT done),
+    pair AS (
+        SELECT l.word, l.len, m.rule << 32 | l.pos AS spot
+        FROM live l JOIN live r ON r.pos = l.pos + l.len JOIN merges m ON m.pair = l.id << 16 | r.id),
+    best AS (SELECT word, min(spot) AS top FROM pair GROUP BY word),
+    hit AS MATERIALIZED (
+        SELECT p.word, p.len, p.spot >> 32 AS rule, p.spot & 4294967295 AS pos, p.spot = b.top AS top
+        FROM pair p JOIN best b ON b.word = p.word AND p.spot >> 44 = b.top >> 44),
+    win AS MATERIALIZED (
+        SELECT pos, len, rule FROM hit WHERE rule & 3 = 0 OR rule & 3 = 1 AND top
+        UNION ALL SELECT pos, len, rule FROM (
             SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth FROM (
                 SELECT *, pos - len * row_number() OVER (PARTITION BY word ORDER BY pos) AS run
-                FROM hit WHERE kind = 'twin'))
+                FROM hit WHERE rule & 3 = 2))
         WHERE nth % 2 = 1),
     change AS (
-        SELECT pos, new, new_len, false AS gone FROM win
-        UNION ALL SELECT pos + len, NULL, NULL, true FROM win)
-    SELECT s.word, s.pos, coalesce(c.new, s.id), coalesce(c.new_len, s.len), b.word IS NULL
-    FROM step s LEFT JOIN best b ON b.word = s.word LEFT JOIN change c ON c.pos = s.pos
-    WHERE NOT s.done AND c.gone IS DISTINCT FROM true)
+        SELECT pos, rule FROM win
+        UNION ALL SELECT pos + len, -1 FROM win)
+    SELECT s.word, s.pos, coalesce(c.rule >> 12, s.id), coalesce(c.rule >> 2 & 1023, s.len), b.word IS NULL
+    FROM live s LEFT JOIN best b ON b.word = s.word LEFT JOIN change c ON c.pos = s.pos
+    WHERE c.rule IS DISTINCT FROM -1)
 )
-SELECT word, id FROM step WHERE done ORDER BY pos
+SELECT word, id, len FROM step WHERE done ORDER BY pos
 """
 
 #: Rows hold this many consecutive ids, so that the ordered aggregation has fewer rows to order.
@@ -74,25 +80,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+#: What one step may contract of a word's minimum pair: every occurrence, the leftmost, or every second of a run of equal tokens.
+ALL, ONE, TWIN = range(3)
+
+
 def merge_table(ranks: dict[bytes, int]) -> dict[str, pa.Array]:
-    """Columns pair, new, new_len and kind for every pair of tokens whose bytes are a token.
+    """Columns pair (left id << 16 | right id) and rule of every pair of tokens whose bytes are a token.
 
-    pair is left id * 65536 + right id. kind says what one step may contract: `one` the leftmost occurrence, `all` every
-    occurrence, `twin` every second of a run of equal tokens. It is `one` where a token of lower rank contains the new one.
+    The kind of a rule is ONE where a token of lower rank contains the new one, since then the order of occurrences matters.
     """
-    if max(ranks.values(), default=0) >= 65536:
-        raise ValueError("ids must be below 65536")
+    if max(ranks.values(), default=0) >= 65536 or max(map(len, ranks), default=0) >= 1024:
+        raise ValueError("ids must be below 65536 and tokens shorter than 1024 bytes")
     pairs = [(a, b, new, len(token)) for token, new in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
     risky = {part for a, b, new, _ in pairs for part in (a, b) if new < part}
-    kinds = ["one" if new in risky else "twin" if a == b else "all" for a, b, new, _ in pairs]
-    return {
-        "pair": pa.array([a * 65536 + b for a, b, _, _ in pairs], pa.int64()),
-        "new": pa.array([p[2] for p in pairs], pa.int64()),
-        "new_len": pa.array([p[3] for p in pairs], pa.int64()),
-        "kind": pa.array(kinds, pa.string()),
-    }
+    rules = [new << 12 | size << 2 | (ONE if new in risky else TWIN if a == b else ALL) for a, b, new, size in pairs]
+    return {"pair": pa.array([a << 16 | b for a, b, _, _ in pairs], pa.int64()), "rule": pa.array(rules, pa.int64())}
 
 
+#: Other white space beside a space.
+BESIDE = re.compile(r"[^\S ] | [^\S ]").search
+
 #: Marks keys that have no leading space; longer than any character, and texts with it aren't cut.
 BARE = "\0\0"
 
@@ -130,9 +137,9 @@ class Sequences:
 class Codec:
     """The tables of one vocabulary in an in-memory DuckDB of this worker, with the ids of what it has seen so far.
 
-    A text is cut where a single space follows a character that isn't a space: every match of a pattern such as GPT-2's ends there, so
-    each cut piece, with its leading space, has the same matches alone as in the text. Texts with doubled, leading or
-    trailing spaces are matched as a whole. Distinct pieces are matched once, and distinct matches encoded once.
+    A text is cut where a space stands between two characters that aren't white space: every match of a pattern such as GPT-2's ends
+    there, so each cut piece, with its leading space, has the same matches alone as in the text. Texts with white space
+    beside a space, or with a leading or trailing space, are matched as a whole. Distinct pieces are matched once, and distinct matches encoded once.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -150,7 +157,7 @@ class Codec:
     def db(self):
         import duckdb
 
-        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
         for name, table in self.tables.items():
             db.register("given", table)
             db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -166,25 +173,70 @@ class Codec:
     def forget(self) -> None:
         self.pieces, self.piece_ids = Numbered(), Sequences()
         self.matches, self.match_ids = Numbered(), Sequences()
+        self.held = 0
 
-    def _learn_matches(self, new: list[str]) -> None:
-        ids = np.fromiter((self.ranks.get(w, -1) for w in new), np.int64, len(new))
-        count = np.ones(len(new), np.int64)
-        rest = [(w.encode(), i) for i, (w, known) in enumerate(zip(new, ids.tolist(), strict=True)) if known < 0]
+    def _contracted(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For groups of words: their indices, numbers of ids, and the ids and their lengths one word after another. Queries are of bounded size."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         # a query takes as many steps as its word of most merges needs, so words of like length go together
-        rest.sort(key=lambda x: len(x[0]))
-        got = []
-        for i in range(0, len(rest), TOGETHER):
-            part = rest[i : i + TOGETHER]
-            size = np.fromiter((len(w) for w, _ in part), np.int64, len(part))
-            data = np.frombuffer(b"".join(w for w, _ in part), np.uint8)
-            word = np.repeat(np.arange(len(part)), size)
+        order = np.argsort(sizes, kind="stable")
+        query = np.cumsum(sizes[order]) // TOGETHER
+        for first, last in spans(query):
+            part = order[first:last]
+            data = np.frombuffer(b"".join([words[i] for i in part.tolist()]), np.uint8)
+            word = np.repeat(np.arange(len(part)), sizes[part])
+            # words are apart by one place, so that none has a right neighbour in the next
             self.db.register("base", pa.table({"word": word, "pos": np.arange(len(data)) + word, "id": self.of_byte[data]}))
-            out = self.db.execute(ENCODE).fetchnumpy()
+            got = self.db.execute(ENCODE).fetchnumpy()
             self.db.unregister("base")
-            at = np.fromiter((k for _, k in part), np.int64, len(part))
-            count[at] = n = np.bincount(np.asarray(out["word"], np.int64), minlength=len(part))
-            got.append((at, n, np.asarray(out["id"], np.int64)))
+            yield part, np.bincount(np.asarray(got["word"], np.int64), minlength=len(part)), np.asarray(got["id"], np.int64), np.asarray(got["len"], np.int64)
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of a long word from windows that overlap by half.
+
+        Ids are those of a word if and only if each two neighbours are those of their own bytes: no contraction across a
+        border happens in the word before one happens between those two alone. Inside a window all neighbours are such. So
+        where two windows have a token in common, one may give way to the other behind it. If two have none, all is done
+        again with windows of twice the size; one that holds the whole word needs no partner.
+        """
+        stride = STRIDE
+        while True:
+            begins = range(0, max(len(word) - stride, 1), stride)
+            done: list = [None] * len(begins)
+            for part, count, ids, lengths in self._contracted([word[a : a + 2 * stride] for a in begins]):
+                ends = np.cumsum(count)
+                for i, a, b in zip(part.tolist(), (ends - count).tolist(), ends.tolist(), strict=True):
+                    done[i] = ids[a:b], lengths[a:b]
+            out, at = [], 0  # at: bytes of the word behind which the next window takes over
+            for k, (begin, (ids, lengths)) in enumerate(zip(begins, done, strict=True)):
+                ends = begin + np.cumsum(lengths)
+                upto = ends[-1]
+                if k + 1 < len(done):
+                    after = begins[k + 1] + np.concatenate([[0], np.cumsum(done[k + 1][1])])
+                    both = np.intersect1d(np.stack([ends - lengths, ends], 1).reshape(-1).view("i8,i8"), np.stack([after[:-1], after[1:]], 1).reshape(-1).view("i8,i8"))
+                    both = both[both["f1"] > at]
+                    if not len(both):
+                        break
+                    upto = both["f1"][len(both) // 2]
+                out.append(ids[(ends > at) & (ends <= upto)])
+                at = upto
+            else:
+                return np.concatenate(out)
+            stride *= 2
+
+    def _learn_matches(self, new: list[str]) -> None:
+        ids = np.fromiter((self.ranks.get(w, -1) for w in new), np.int64, len(new))
+        count = np.ones(len(new), np.int64)
+        rest = np.flatnonzero(ids < 0)
+        words = [new[i].encode() for i in rest.tolist()]
+        long = np.fromiter((len(w) > 2 * STRIDE for w in words), bool, len(words))
+        short = rest[~long]
+        got = [(short[part], n, out) for part, n, out, _ in self._contracted([w for w in words if len(w) <= 2 * STRIDE])]
+        for i in np.flatnonzero(long).tolist():
+            out = self._long(words[i])
+            got.append((rest[i : i + 1], np.array([len(out)]), out))
+        for at, n, _ in got:
+            count[at] = n
         start = np.cumsum(count) - count
         flat = np.zeros(count.sum(), np.int64)
         flat[start] = ids
@@ -197,29 +249,53 @@ class Codec:
         index = [list(map(number, self.find(p))) for p in new]
         size = np.cumsum([0, *map(len, index)])
         if len(self.matches) > known:
-            self._learn_matches(list(self.matches)[known:])
+            self._learn_matches(list(islice(self.matches, known, None)))
         flat, count = self.match_ids.get(np.fromiter(chain.from_iterable(index), np.int64, size[-1]))
         ends = np.concatenate([[0], np.cumsum(count)])[size]
         self.piece_ids.add(flat, np.diff(ends))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.pieces) > MAX_WORDS:
-            self.forget()
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         known, number, rows = len(self.pieces), self.pieces.__getitem__, []
         for t in texts:
             cut = t.split(" ")
-            if "" in cut or BARE in t:
+            if "" in cut or BARE in t or BESIDE(t):
                 rows.append([number(f"{BARE}{w}") for w in self.find(t)])
             else:
                 rows.append([number(f"{BARE}{w}") for w in self.find(cut[0])] + list(map(number, cut[1:])))
         if len(self.pieces) > known:
-            self._learn_pieces([p[2:] if p.startswith(BARE) else f" {p}" for p in list(self.pieces)[known:]])
+            new = [p[2:] if p.startswith(BARE) else f" {p}" for p in islice(self.pieces, known, None)]
+            self.held += sum(map(len, new))
+            self._learn_pieces(new)
         size = np.cumsum([0, *map(len, rows)])
         flat, count = self.piece_ids.get(np.fromiter(chain.from_iterable(rows), np.int64, size[-1]))
         ends = np.concatenate([[0], np.cumsum(count)])[size]
+        if len(self.pieces) > MAX_WORDS or self.held > MAX_WORD_CHARS:
+            self.forget()
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; the parts of a long one are encoded one after another."""
+        parts, owner = [], []
+        for i, t in enumerate(texts):
+            cut = parts_of(t)
+            parts += cut
+            owner += [i] * len(cut)
+        got: list[list[np.ndarray]] = [[] for _ in texts]
+        for a, b in slices(parts, SLICE_CHARS):
+            for i, ids in zip(owner[a:b], self._encode(parts[a:b]), strict=True):
+                got[i].append(ids)
+        return [x[0] if len(x) == 1 else np.concatenate([*x, np.zeros(0, np.uint16)]) for x in got]
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each sequence; long ones are decoded in blocks."""
+        blocks = [x[a : a + IDS_TOGETHER] for x in ids for a in range(0, len(x), IDS_TOGETHER)]
+        bytes_of: list[bytes] = []
+        for a, b in slices(blocks, IDS_TOGETHER):
+            bytes_of += self._decode(blocks[a:b])
+        of_text = iter(bytes_of)
+        return [b"".join(islice(of_text, -(-len(x) // IDS_TOGETHER))) for x in ids]
+
+    def _decode(self, ids: list[np.ndarray]) -> list[bytes]:
         out = [b""] * len(ids)
         wide = np.fromiter((-(-len(x) // WIDE) for x in ids), np.int64, len(ids))
         flat = np.full((wide.sum(), WIDE), -1, np.int64)
@@ -234,6 +310,20 @@ class Codec:
         return out
 
 
+def parts_of(text: str, most: int = SLICE_CHARS) -> list[str]:
+    """The text, cut where a space stands between two characters that aren't white space, into parts of about `most` characters; without such a space in reach, a part is longer."""
+    out, begin = [], 0
+    while len(text) - begin > most:
+        at = begin + most
+        while (at := text.find(" ", at)) >= 0 and (text[at - 1].isspace() or not text[at + 1 : at + 2].strip()):
+            at += 1
+        if at < 0:
+            break
+        out.append(text[begin:at])
+        begin = at
+    return [*out, text[begin:]]
+
+
 def _is_text(token: bytes) -> bool:
     try:
         return bool(token.decode())
@@ -246,23 +336,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about `most` characters; a longer text is a range of its own."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if len(texts) > begin:
-        yield begin, len(texts)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded_bytes", digests: bool = False) -> DataFrame:
     """docs with the token ids of `text` (array<int>) and, if asked for, the bytes that the ids decode to.
 
     With digests, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256 take their place.
     """
+    small_batches(docs)
     own = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
     names = list(own)
     # digests need no more of the text than its own batch, so that column isn't sent back
@@ -273,12 +352,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     given = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tarnworks.llm.features import trim
-
         own_codec = codec(path, pattern)
         for batch in batches:
             texts = batch.column("__text").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_CHARS):
                 got = own_codec.encode(texts[a:b])
                 columns = [batch.column(c).slice(a, b - a) for c in keep]
                 if digests or decoded:

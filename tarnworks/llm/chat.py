@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnworks.llm.features import small_batches
 from tarnworks.session import stash
 
 END = "<|end|>\n"
@@ -121,6 +122,7 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes: node, path, segment, position (id of its first character), loss_begin, loss_end (in its segment), and packed_begin
     and packed_end, its interval of the packed output, whose order is that of path. chains: conv_id, nth turn, node.
     """
+    small_batches(conversations)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     rows = stash(turns.mapInArrow(_chains, "conv_id long, nth int, node string, segment string, position long, loss_begin long, loss_end long"), "chains")

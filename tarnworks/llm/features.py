@@ -7,8 +7,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from tarnworks.llm.bpe import slices
+#: Arrow batches between the JVM and Python workers have about this many bytes, where the session doesn't set another size.
+BATCH_BYTES = 4 << 20
+
+
+def slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts (or other sequences) of about `most` characters; a longer one is a range of its own."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if len(texts) > begin:
+        yield begin, len(texts)
+
+
+def spans(x: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(x):
+        return []
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
+    return list(zip(begin, [*begin[1:], len(x)], strict=True))
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,3 +62,10 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bounds the Arrow batches of df's session by BATCH_BYTES, so that long texts don't meet 10,000 at a time; another size than Spark's own stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).rstrip("b") == str(64 << 20):
+        conf.set(name, str(BATCH_BYTES))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnworks.llm.features import text_slices
+from tarnworks.llm.features import small_batches, text_slices
 from tarnworks.llm.quality import fold
 
 SLICE_CHARS = 1_000_000
@@ -125,6 +125,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+    small_batches(docs)
     train = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id")) != 1))
     seen, rows = _document_frequencies(train.select("text"))
     if not rows:
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score"), drop_text: bool = False) -> DataFrame:
     """docs with the predicted language of each whole text and its score."""
+    small_batches(docs)
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     out = [c for c in kept.columns if not (drop_text and c == text)]
 

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnworks.llm.bpe import slices
-from tarnworks.llm.features import text_slices, trim
+from tarnworks.llm.features import slices, small_batches, text_slices, trim
 
 #: Texts and images are handled in slices of about this size.
 SLICE_CHARS, SLICE_BYTES = 1_000_000, 1_000_000
@@ -251,6 +250,7 @@ def thumbnail_hashes(pixels: np.ndarray) -> str:
 
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with the text's payload as a JPEG column in the text's place, and n_bytes, the text's bytes."""
+    small_batches(docs)
     out = [c for c in docs.columns if c not in (text, media, "n_bytes")]
     given = docs.select(*[F.col(f"`{c}`") for c in out], F.col(f"`{text}`").alias("__text"))
 
@@ -265,6 +265,7 @@ def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFram
 
 def describe(stored: DataFrame, media: str = "media") -> DataFrame:
     """stored with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature in the media's place."""
+    small_batches(stored)
     own = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     out = [c for c in stored.columns if c not in (media, *own)]
     given = stored.select(*[F.col(f"`{c}`") for c in out], media)

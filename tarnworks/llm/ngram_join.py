@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnworks.llm.components import components
+from tarnworks.llm.features import slices, small_batches, spans, trim
 from tarnworks.session import plan_bytes, stash, unstash
 
 #: Texts are hashed in slices of about this many characters; a pack holds about this many n-grams.
@@ -50,15 +51,18 @@ _PLACE = _RNG.integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1 modulo 2 ** 64."""
+    """base ** 0, 1, ... n - 1 modulo 2 ** 64. Up to KEPT_POWERS are kept for other calls; more are made anew each time."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if len(have) <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -111,14 +115,6 @@ def _from48(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def spans(x: np.ndarray) -> list[tuple[int, int]]:
-    """Begin and end of each run of equal values."""
-    if not len(x):
-        return []
-    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
-    return list(zip(begin, [*begin[1:], len(x)], strict=True))
-
-
 _PACKED = "bucket int, kind int, ids binary, sets binary, sizes binary, counts binary, data binary"
 _MET = "kind int, doc_id long, class long, size int, keys binary"
 
@@ -165,9 +161,6 @@ def _pack(n: int, bits: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000], strict=True), kinds, strict=True)], names=["bucket", "kind", "ids", "sets", "sizes", "counts", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tarnworks.llm.bpe import slices
-        from tarnworks.llm.features import trim
-
         docs: list[tuple] = []
         sets: dict[int, np.ndarray] = {}
         held = 0
@@ -207,8 +200,6 @@ def _meet(bits: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(classes), kind, np.int32)), docs, pa.array(classes, pa.int64(), mask=classes < 0), pa.array(sizes, pa.int32()), keys], names=["kind", "doc_id", "class", "size", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tarnworks.llm.features import trim
-
         held: dict[int, list] = {}
         for got in batches:
             for row in got.to_pylist():
@@ -336,6 +327,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: in
     Two documents link when den * |common| >= num * |union| of their sets of word n-grams. component_id is the smallest
     doc_id that links lead to, class_id the smallest of those with an equal set.
     """
+    small_batches(docs)
     bits = min(20, max(6, round(np.log2(max(1, plan_bytes(docs.select(text)) / BUCKET_BYTES)))))
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     met = stash(given.mapInArrow(_pack(n, bits), _PACKED).repartition("bucket").mapInArrow(_meet(bits), _MET), "met")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnworks.llm.features import joined, sums, text_slices
+from tarnworks.llm.features import joined, small_batches, sums, text_slices
 from tarnworks.llm.ngram_join import _BACK, _BYTE, _SPACE, _STEP, _powers, mix
 
 SLICE_CHARS = 1_000_000
@@ -116,6 +116,7 @@ def isotonic(x: np.ndarray, positives: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
+    small_batches(docs)
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "text", SLICE_CHARS):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in statistics(texts)], pa.binary())], names=["id", "stats"])
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", name: str = "quality_score", drop_text: bool = False) -> DataFrame:
     """docs with the model's score of each whole text, from 0 to 1."""
+    small_batches(docs)
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != name])
     out = [c for c in kept.columns if not (drop_text and c == text)]
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnworks.llm.features import text_slices
+from tarnworks.llm.features import small_batches, text_slices
 from tarnworks.llm.ngram_join import _BACK, _STEP, _powers, mix
 
 SLICE_CHARS = 1_500_000
@@ -295,6 +295,7 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit in the text's place."""
+    small_batches(docs)
     own = ["n_bytes", "n_tokens", "over_limit"]
     out = [c for c in docs.columns if c != text and c not in own]
     given = docs.select(*[F.col(f"`{c}`") for c in out], F.col(f"`{text}`").alias("__text"))

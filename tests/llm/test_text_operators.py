@@ -39,6 +39,38 @@ def test_bpe_of_random_texts(tik):
     assert [x.tolist() for x in codec.encode(texts)] == [own.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_of_long_words_and_texts(tik):
+    path, own = tik
+    rng = np.random.default_rng(9)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    texts = [
+        letters(100_000, "abcdefghijklmnopqrstuvwxyz"), "a" * 100_000, "ab" * 30_001, letters(5000, "ab"), "日本" * 3000, "!?" * 5000, "=" * 70_001,
+        " ".join(letters(int(n), "abcde") for n in rng.integers(1, 12, 200_000)), "a  b\n \t c" * 100_000, " " * 3000 + "\n" * 5000,
+    ]
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    ids = codec.encode(texts)
+    for t, x, back in zip(texts, ids, codec.decode(ids), strict=True):
+        assert x.tolist() == own.encode_ordinary(t) and back.decode() == t
+
+
+@pytest.mark.parametrize("stride", [8, 40])
+def test_bpe_windows_of_words_meet_at_common_tokens(tik, monkeypatch, stride):
+    path, own = tik
+    monkeypatch.setattr(bpe, "STRIDE", stride)
+    rng = np.random.default_rng(stride)
+    words = ["".join(rng.choice(list(of), rng.integers(1, 300))) for of in ("ab", "etaoinshr", "a", "=", "xyzzy") for _ in range(12)]
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    assert [x.tolist() for x in codec.encode(words)] == [own.encode_ordinary(w) for w in words]
+
+
+def test_bpe_cuts_long_texts_between_words():
+    text = "ab  cd\n ef gh\t ij " * 50
+    for most in (1, 7, 30):
+        parts = bpe.parts_of(text, most)
+        assert "".join(parts) == text and len(parts) > 1
+        assert all(p[0] == " " and not p[1].isspace() and not q[-1].isspace() for q, p in zip(parts, parts[1:]))
+
+
 def test_bpe_of_no_rows(spark, tik):
     empty = frame(spark, ["x"]).limit(0)
     assert bpe.encode(empty, tik[0], public_tokenizers.PATTERN, digests=True).collect() == []
