@@ -23,13 +23,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         near = both.join(roots.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("low"))
         seen = roots.join(near, "node").select("node", "root", F.least("root", "low").alias("low"))
-        hook = seen.groupBy("root").agg(F.min("low").alias("lower"))
+        # as a table, so that the join on a giant tree's root can be split
+        hook = stash(seen.groupBy("root").agg(F.min("low").alias("lower")), "hook")
         hooked = stash(seen.join(hook, "root").select("node", F.least("low", "lower").alias("root")), "hooked")
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
         jumped = stash(hooked.join(up, "root").select("node", F.col("top").alias("root")), "roots")
         moved = roots.withColumnRenamed("root", "was").join(jumped, "node").where("was <> root").limit(1).count()
         unstash(roots)
         unstash(hooked)
+        unstash(hook)
         roots = jumped
         if not moved:
             unstash(both)

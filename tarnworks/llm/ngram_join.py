@@ -37,6 +37,8 @@ PACK_NGRAMS = 750_000
 COMMON_IN = 500
 #: One hash bucket for about this many bytes of input.
 BUCKET_BYTES = 4_000_000
+#: Bytes of input whose n-grams one task takes.
+TASK_BYTES = 256 << 20
 #: Rounds with hubs before the exact round.
 HUB_ROUNDS = 2
 #: 64-bit words of a set's parity bitmap.
@@ -188,19 +190,20 @@ def _low(h: np.ndarray, bits: int) -> bytes:
     return _low48(rest >> np.uint64(max(0, 10 - bits)))
 
 
-def _key(low: np.ndarray, bucket: int, bits: int, freq: np.ndarray) -> np.ndarray:
+def _key(low: np.ndarray, bucket: np.ndarray, bits: int, freq: np.ndarray) -> np.ndarray:
     """The order of n-grams: 6 bits of frequency, then the hash as far as its bucket knows it."""
-    return (freq << np.uint64(58)) | (np.uint64(bucket) << np.uint64(58 - bits)) | (low << np.uint64(max(0, 10 - bits)))
+    return (freq << np.uint64(58)) | (bucket << np.uint64(58 - bits)) | (low << np.uint64(max(0, 10 - bits)))
 
 
 def _meet(bits: int):
-    """Packed rows of some buckets to (kind 0) documents and (kind 1) keys of each class that other classes have too."""
+    """Packed rows in order of buckets to (kind 0) documents and (kind 1, 2) keys of each class that other classes have too. One bucket is held at a time."""
 
     def batch(kind: int, docs, classes, sizes, keys) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(classes), kind, np.int32)), docs, pa.array(classes, pa.int64(), mask=classes < 0), pa.array(sizes, pa.int32()), keys], names=["kind", "doc_id", "class", "size", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list = []
+        bucket = -1
         for got in batches:
             for row in got.to_pylist():
                 kind = row["kind"]
@@ -211,46 +214,49 @@ def _meet(bits: int):
                         yield batch(0, ids, names, sizes, pa.nulls(len(names), pa.binary()))
                     else:
                         h = np.frombuffer(row["data"], np.uint64)
-                        bucket = h >> np.uint64(58 - bits)
-                        low = (h & np.uint64((1 << (58 - bits)) - 1)) >> np.uint64(max(0, 10 - bits))
-                        keys = (np.uint64(63) << np.uint64(58)) | (bucket << np.uint64(58 - bits)) | (low << np.uint64(max(0, 10 - bits)))
+                        keys = _key((h & np.uint64((1 << (58 - bits)) - 1)) >> np.uint64(max(0, 10 - bits)), h >> np.uint64(58 - bits), bits, np.uint64(63))
                         yield batch(2, pa.nulls(1, pa.int64()), names, sizes, pa.array([keys.tobytes()], pa.binary()))
-                else:
-                    held.setdefault(row["bucket"], []).append(row)
-        for bucket in sorted(held):
-            rows = held.pop(bucket)
-            common = np.unique(np.concatenate([_from48(r["data"]) for r in rows if r["kind"] == 3] or [np.zeros(0, np.uint64)]))
-            rows = [r for r in rows if r["kind"] == 1]
-            if not rows:
-                continue
-            low = np.concatenate([_from48(r["data"]) for r in rows])
-            names = np.concatenate([np.repeat(np.frombuffer(r["sets"], np.int64), np.frombuffer(r["counts"], np.int32)) for r in rows])
-            sizes = np.concatenate([np.repeat(np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows])
-            order = np.argsort(low, kind="stable")
-            low = low[order]
-            new = np.concatenate([[True], low[1:] != low[:-1]])
-            times = np.diff(np.concatenate([np.flatnonzero(new), [len(low)]]))
-            many = np.repeat(times, times) > 1
-            many |= np.isin(low, common)
-            low, names, sizes = low[many], names[order][many], sizes[order][many]
-            order = np.lexsort((names, low))  # a class may come from several packs
-            low, names, sizes = low[order], names[order], sizes[order]
-            once = np.concatenate([[True], (low[1:] != low[:-1]) | (names[1:] != names[:-1])])[: len(low)]
-            low, names, sizes = low[once], names[once], sizes[once]
-            new = np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]
-            times = np.diff(np.concatenate([np.flatnonzero(new), [len(low)]]))
-            times = np.repeat(times, times)
-            freq = np.where(np.isin(low, common), 63, np.minimum(62, np.floor(np.log2(np.maximum(times, 1))))).astype(np.uint64)
-            shared = (times > 1) | (freq == 63)
-            keys, names, sizes = _key(low, bucket, bits, freq)[shared], names[shared], sizes[shared]
-            order = np.argsort(names, kind="stable")
-            keys, names, sizes = keys[order], names[order], sizes[order]
-            runs = spans(names)
-            for i in range(0, len(runs), 5000):
-                at = np.array([a for a, _ in runs[i : i + 5000]])
-                yield batch(1, pa.nulls(len(at), pa.int64()), names[at], sizes[at], pa.array([keys[a:b].tobytes() for a, b in runs[i : i + 5000]], pa.binary()))
+                    continue
+                if row["bucket"] != bucket:
+                    yield from together(bucket, held)
+                    bucket, held = row["bucket"], []
+                held.append(row)
+        yield from together(bucket, held)
         trim()
 
+    def together(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """The n-grams of one bucket that several classes have, by class."""
+        common = np.unique(np.concatenate([_from48(r["data"]) for r in rows if r["kind"] == 3] or [np.zeros(0, np.uint64)]))
+        rows = [r for r in rows if r["kind"] == 1]
+        if not rows:
+            return
+        low = np.concatenate([_from48(r["data"]) for r in rows])
+        names = np.concatenate([np.repeat(np.frombuffer(r["sets"], np.int64), np.frombuffer(r["counts"], np.int32)) for r in rows])
+        sizes = np.concatenate([np.repeat(np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows])
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        new = np.concatenate([[True], low[1:] != low[:-1]])
+        times = np.diff(np.concatenate([np.flatnonzero(new), [len(low)]]))
+        many = np.repeat(times, times) > 1
+        many |= np.isin(low, common)
+        low, names, sizes = low[many], names[order][many], sizes[order][many]
+        order = np.lexsort((names, low))  # a class may come from several packs
+        low, names, sizes = low[order], names[order], sizes[order]
+        once = np.concatenate([[True], (low[1:] != low[:-1]) | (names[1:] != names[:-1])])[: len(low)]
+        low, names, sizes = low[once], names[once], sizes[once]
+        new = np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]
+        times = np.diff(np.concatenate([np.flatnonzero(new), [len(low)]]))
+        times = np.repeat(times, times)
+        freq = np.where(np.isin(low, common), 63, np.minimum(62, np.floor(np.log2(np.maximum(times, 1))))).astype(np.uint64)
+        shared = (times > 1) | (freq == 63)
+        keys, names, sizes = _key(low, np.uint64(bucket), bits, freq)[shared], names[shared], sizes[shared]
+        order = np.argsort(names, kind="stable")
+        keys, names, sizes = keys[order], names[order], sizes[order]
+        runs = spans(names)
+        for i in range(0, len(runs), 5000):
+            at = np.array([a for a, _ in runs[i : i + 5000]])
+            yield batch(1, pa.nulls(len(at), pa.int64()), names[at], sizes[at], pa.array([keys[a:b].tobytes() for a, b in runs[i : i + 5000]], pa.binary()))
+
     return run
 
 
@@ -307,16 +313,17 @@ def _verify(num: int, den: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of candidate pairs (a, b), each once, those that are similar."""
+    """Of distinct candidate pairs (a, b), those that are similar."""
     x = sets.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("keys").alias("keys_a"))
     y = sets.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("keys").alias("keys_b"))
-    return pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "size_a", "size_b", "keys_a", "keys_b").mapInArrow(_verify(num, den), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "size_a", "size_b", "keys_a", "keys_b").mapInArrow(_verify(num, den), "a long, b long")
 
 
 def _fits(num: int, den: int) -> F.Column:
     """Length and positional filter of two postings of one key, as structs x and y of (class, size, at)."""
     need = F.ceil(num * (F.col("x.size") + F.col("y.size")) / F.lit(num + den))
-    rest = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
+    # items from the key on, which is common: what comes before it can't be common, or the pair would meet there as well
+    rest = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
     length = num * F.greatest("x.size", "y.size") <= den * F.least("x.size", "y.size")
     return length & (rest >= need)
 
@@ -328,9 +335,15 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: in
     doc_id that links lead to, class_id the smallest of those with an equal set.
     """
     small_batches(docs)
-    bits = min(20, max(6, round(np.log2(max(1, plan_bytes(docs.select(text)) / BUCKET_BYTES)))))
+    size = plan_bytes(docs.select(text))
+    known = size < 1 << 55  # Catalyst takes a huge size for what it can't estimate
+    bits = min(26, max(6, round(np.log2(max(1, size / BUCKET_BYTES))))) if known else 12
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    met = stash(given.mapInArrow(_pack(n, bits), _PACKED).repartition("bucket").mapInArrow(_meet(bits), _MET), "met")
+    packed = given.mapInArrow(_pack(n, bits), _PACKED)
+    # more tasks than the session has partitions, if these would get too much; a task holds one bucket at a time
+    tasks = size // TASK_BYTES if known else 0
+    dealt = packed.repartition(tasks, "bucket") if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else packed.repartition("bucket")
+    met = stash(dealt.sortWithinPartitions("bucket").mapInArrow(_meet(bits), _MET), "met")
     rows = met.where("kind = 0").select("doc_id", F.col("class"), F.col("size").cast("long").alias("n_shingles"))
     # a class of many copies has the same common n-grams in many packs
     packs = met.where("kind = 1").select("class", "size", "keys").union(met.where("kind = 2").select("class", "size", "keys").distinct())
@@ -338,17 +351,23 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: in
     # positions count from 0; n-grams of one class alone come before those of its keys
     unshared = F.col("size") - (F.length("keys") / 8).cast("int")
     placed = sets.select("class", "size", "prefix", unshared.alias("before"), F.posexplode("prefix").alias("nth", "key")).withColumn("x", F.struct("class", "size", (F.col("before") + F.col("nth")).alias("at")))
-    links, roots = None, None
+    links, roots, tried = None, None, None
+    # tables between the steps leave plain joins on the key, of which Spark can split hot ones
     for turn in range(HUB_ROUNDS + 1):
         here = placed.select("key", "x")
+        own: list[DataFrame] = []
+
+        def kept(df: DataFrame, label: str, own: list[DataFrame] = own) -> DataFrame:
+            own.append(stash(df, label))
+            return own[-1]
+
         if roots is not None:
             here = here.join(roots.withColumnRenamed("node", "class").alias("r"), F.col("x.class") == F.col("r.class"), "left").select("key", "x", F.coalesce("root", "x.class").alias("root"))
-            open_keys = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-            here = here.join(open_keys, "key", "left_semi")
-            here = stash(here, "open")
+            open_keys = kept(here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "open-keys")
+            here = kept(here.join(open_keys, "key", "left_semi"), "open")
         if turn < HUB_ROUNDS:
             order = F.col("x.class") if turn == 0 else F.xxhash64("x.class", F.lit(turn))
-            hubs = here.groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n")
+            hubs = kept(here.groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
             pairs = here.join(hubs, "key").where((F.col("x.class") != F.col("y.class")) & _fits(num, den))
         else:
             # every class outside the list's largest component, against all classes of other components, if as many
@@ -356,16 +375,19 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: in
             marks = sets.select(F.col("class").alias("of"), (F.length("keys") / 8).cast("int").alias("shared"), "parity")
             marked = here.join(marks, F.col("x.class") == F.col("of")).drop("of")
             parts = here.groupBy("key", "root").agg(F.count("*").alias("n"))
-            main = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-            tagged = marked.join(main, "key")
+            main = kept(parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")), "main")
+            tagged = kept(marked.join(main, "key"), "tagged")
             minor = tagged.where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("root_y"), F.col("shared").alias("shared_y"), F.col("parity").alias("parity_y"))
             differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity_y", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
             enough = F.col("shared") + F.col("shared_y") - differ >= 2 * F.ceil(num * (F.col("x.size") + F.col("y.size")) / F.lit(num + den))
-            pairs = tagged.join(minor, "key").where((F.col("root") != F.col("root_y")) & ((F.col("root") == F.col("main")) | (F.col("x.class") < F.col("y.class"))) & _fits(num, den) & enough)
-        pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-        found = stash(_linked(pairs, sets, num, den), "links")
-        if roots is not None:
-            unstash(here)
+            pairs = tagged.join(minor, "key").where((F.col("root_y") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x.class") < F.col("y.class"))) & _fits(num, den) & enough)
+        pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+        # a pair is verified once, in the first round that meets it
+        fresh = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stash(_linked(fresh, sets, num, den), "links")
+        tried = fresh if tried is None else tried.union(fresh)
+        for table in own:
+            unstash(table)
         if turn and not found.limit(1).count():
             continue
         links = found if links is None else links.union(found)
