@@ -27,11 +27,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near duplicates; one row per doc_id. Rows without a doc_id stay."""
-    groups = ngram_join.ngram_jaccard_components(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one document of each group of near duplicates: that of the smallest doc_id (null ids last), then of the least key.
+
+    Rows are told apart by a key of doc_id and text, so rows of equal or null ids but unlike texts don't take each other's
+    place; of rows equal in both, one stays. Documents without a word are linked with nothing and stay.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.ngram_jaccard_components(keyed, doc_id="__key").where("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    members = keyed.select("__key", "doc_id").join(groups, "__key")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("x")).select("x.__key")
+    kept = keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select(*docs.columns).unionByName(docs.where("NOT coalesce(text, '') RLIKE '[^\\x20\\x09-\\x0D]'"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +60,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", byte_level_bpe),
 ]
 
-#: SQL can't express the trained stages; tests compare run() with brute force.
+#: SQL can't express the trained stages; a test compares each stage with a brute-force version of its input.
 ORACLE_SQL = None
 
 
