@@ -3,6 +3,7 @@ import itertools
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnworks.llm import chat, components, decontam, ngram_join, sharding, url_filter
 
@@ -148,14 +149,45 @@ def test_chat_tree_packs_depth_first_and_reads_back(spark, odd_texts):
     assert [s.position for s in spans] == [sum(x.packed_end - x.packed_begin for x in spans[:i]) for i in range(len(spans))]
 
 
-def test_pipeline_keeps_the_columns_and_decodes(spark):
+def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns[: len(docs.columns)] == docs.columns
-    kept = out.select("doc_id", "decodes").collect()
-    assert 0 < len(kept) < docs.count() and all(r.decodes for r in kept)
-    assert len({r.doc_id for r in kept}) == len(kept)
-    groups = ngram_join.ngram_jaccard_components(out).collect()
-    assert all(r.component_id == r.doc_id for r in groups)
+    import public_tokenizers
+    import tiktoken
+
+    from tarnworks.llm import bpe, langid, quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = docs.where("length(text) BETWEEN 200 AND 2000").orderBy("doc_id").first().text
+    other = docs.where("length(text) BETWEEN 200 AND 2000").orderBy(F.desc("doc_id")).first().text
+    odd = [(None, text, "en", "s", 1), (None, other, "en", "s", 1), (900001, text, "en", "s", 1), (900001, other + " more", "en", "s", 1), (900002, None, None, None, None), (900003, " ", "en", "s", 0), (900004, "x" * 5000, "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).cache()
+    names = docs.columns
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "")
+    before = sorted(docs.collect(), key=key)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(names)] == names
+        after = sorted(out.collect(), key=key)
+        whole = sorted(map(tuple, out.select(*names).collect()), key=str)
+        if name == "quality classifier":
+            model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            score = model.score(quality.statistics([r.text or "" for r in before]))
+            want = [r for r, s in zip(before, score, strict=True) if s >= 0.5]
+        elif name == "language ID":
+            langs, score = langid.fit(docs).predict([r.text or "" for r in before])
+            want = [r for r, x, s in zip(before, langs, score, strict=True) if x != "und" and s >= 0.5]
+        elif name == "n-gram Jaccard join":
+            roots = brute_components([(i, r.text) for i, r in enumerate(before)])
+            want = [r for r, (i, _, root) in zip(before, roots, strict=True) if root == i]
+        elif name == "benchmark decontamination":
+            hit = {r.doc_id: r.contaminated for r in decontam.contamination(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+            want = [r for r in before if not hit[r.doc_id]]
+        else:
+            path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+            own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+            want = before
+            assert all(r.decodes and r.token_ids == own.encode_ordinary(r.text or "") for r in after)
+        assert whole == sorted((tuple(r[c] for c in names) for r in want), key=str), name
+        docs, before = spark.createDataFrame([tuple(r[c] for c in names) for r in after], docs.schema), [r for r in after]
+    assert 0 < len(before) < 200
