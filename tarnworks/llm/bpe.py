@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 from tarnworks.llm.features import slices, small_batches, spans, trim
 
 #: Texts are handled in slices of about this many characters, and cached words are forgotten beyond these numbers.
-SLICE_CHARS = 1_000_000
-MAX_WORDS, MAX_WORD_CHARS = 200_000, 8_000_000
+SLICE_CHARS = 2_000_000
+MAX_WORDS, MAX_WORD_CHARS = 300_000, 8_000_000
 #: Bytes of the words of one encoding query, and ids of one decoding query.
-TOGETHER, IDS_TOGETHER = 200_000, 1_000_000
+TOGETHER, IDS_TOGETHER = 300_000, 1_000_000
 #: Words of more bytes are encoded in windows of twice this size, each beginning this many bytes after the one before.
 STRIDE = 1024
 
