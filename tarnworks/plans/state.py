@@ -102,11 +102,18 @@ def _clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _C = "c AS (SELECT o_custkey AS key, o_orderkey AS id, o_orderkey % 4 AS a, o_orderkey % 3 AS b FROM orders)"
 
 
-@query(f"WITH {_C} SELECT x.id AS id, y.id AS other, CASE WHEN (x.a < y.a OR x.b < y.b) AND (x.a > y.a OR x.b > y.b) THEN 'CONCURRENT' WHEN x.a < y.a OR x.b < y.b THEN 'BEFORE' WHEN x.a > y.a OR x.b > y.b THEN 'AFTER' ELSE 'EQUAL' END AS relation, greatest(x.a, y.a) AS merged_a, greatest(x.b, y.b) AS merged_b FROM c x JOIN c y ON x.key = y.key AND x.id + 1 = y.id OR x.key = y.key AND x.id + 2 = y.id")
+@query(
+    f"""WITH {_C}, w AS (
+        SELECT *, lead(id, 1) OVER v AS other, lead(a, 1) OVER v AS a2, lead(b, 1) OVER v AS b2 FROM c WINDOW v AS (PARTITION BY key ORDER BY id)
+        UNION ALL SELECT *, lead(id, 2) OVER v, lead(a, 2) OVER v, lead(b, 2) OVER v FROM c WINDOW v AS (PARTITION BY key ORDER BY id))
+    SELECT id, other, CASE WHEN (a < a2 OR b < b2) AND (a > a2 OR b > b2) THEN 'CONCURRENT' WHEN a < a2 OR b < b2 THEN 'BEFORE' WHEN a > a2 OR b > b2 THEN 'AFTER' ELSE 'EQUAL' END AS relation, greatest(a, a2) AS merged_a, greatest(b, b2) AS merged_b
+    FROM w WHERE other IS NOT NULL"""
+)
 def vc_compare_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _clocks(spark, sf_dir)
-    other = c.select("key", F.col("id").alias("other"), F.col("clock").alias("other_clock"))
-    near = c.withColumn("other", F.explode(F.array(F.col("id") + 1, F.col("id") + 2))).join(other, ["key", "other"])
+    """Each version of a customer beside its next two."""
+    by_key = Window.partitionBy("key").orderBy("id")
+    later = F.array(*[F.struct(F.lead("id", n).over(by_key).alias("other"), F.lead("clock", n).over(by_key).alias("other_clock")) for n in (1, 2)])
+    near = _clocks(spark, sf_dir).withColumn("later", later).select("id", "clock", F.explode("later").alias("x")).select("id", "clock", "x.*").where("other IS NOT NULL")
     merged = rp.merge_clocks(F.col("clock"), F.col("other_clock"))
     return near.select("id", "other", rp.compare_clocks(F.col("clock"), F.col("other_clock")).alias("relation"), merged["a"].alias("merged_a"), merged["b"].alias("merged_b"))
 
@@ -127,21 +134,18 @@ def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("node"), F.col("event_id").alias("seq"), F.expr("event_id div 6").alias("message"), kind.alias("kind"))
 
 
-_TR = "t AS (SELECT event_id AS id, user_id % 5 AS node, event_id // 6 AS message, CASE event_id % 6 WHEN 1 THEN 'send' WHEN 4 THEN 'receive' ELSE 'local' END AS kind FROM events WHERE event_id < 60), e AS (SELECT cause, id AS effect FROM (SELECT id, lag(id) OVER (PARTITION BY node ORDER BY id) AS cause FROM t) WHERE cause IS NOT NULL UNION ALL SELECT s.id, r.id FROM t s JOIN t r ON s.message = r.message AND s.kind = 'send' AND r.kind = 'receive')"
+_TR = """t AS (SELECT event_id AS id, user_id % 5 AS node, event_id // 6 AS message, CASE event_id % 6 WHEN 1 THEN 'send' WHEN 4 THEN 'receive' ELSE 'local' END AS kind FROM events),
+    hops AS (SELECT s.node AS sender, s.id AS sent, r.node AS receiver, r.id AS got FROM t s JOIN t r ON s.message = r.message AND s.kind = 'send' AND r.kind = 'receive')"""
 
 
-@query(f"WITH RECURSIVE {_TR}, h(id) AS (SELECT effect FROM e WHERE cause = (SELECT min(id) FROM t) UNION SELECT effect FROM h JOIN e ON cause = h.id) SELECT id FROM h")
+@query(
+    f"""WITH RECURSIVE {_TR}, h(node, begin) AS (
+        SELECT node, id FROM t WHERE id = (SELECT min(id) FROM t)
+        UNION SELECT receiver, got FROM h JOIN hops ON sender = node AND sent >= begin)
+    SELECT id FROM t JOIN (SELECT node, min(begin) AS begin FROM h GROUP BY 1) USING (node) WHERE id >= begin AND id <> (SELECT min(id) FROM t)"""
+)
 def happens_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """After the first of the first 60 events, as in its SQL; happens_before_all has all events."""
-    trace = _trace(spark, sf_dir).where("id < 60")
-    return rp.happens_after(trace, trace.agg(F.min("id")).first()[0])
-
-
-_TR_ALL = "t AS (SELECT event_id AS id, user_id % 5 AS node, event_id // 6 AS message, CASE event_id % 6 WHEN 1 THEN 'send' WHEN 4 THEN 'receive' ELSE 'local' END AS kind FROM events), e AS (SELECT cause, id AS effect FROM (SELECT id, lag(id) OVER (PARTITION BY node ORDER BY id) AS cause FROM t) WHERE cause IS NOT NULL UNION ALL SELECT s.id, r.id FROM t s JOIN t r ON s.message = r.message AND s.kind = 'send' AND r.kind = 'receive')"
-
-
-@query(f"WITH RECURSIVE {_TR_ALL}, h(id) AS (SELECT effect FROM e WHERE cause = (SELECT min(id) FROM t) UNION SELECT effect FROM h JOIN e ON cause = h.id) SELECT id FROM h")
-def happens_before_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that the first one happens before."""
     trace = _trace(spark, sf_dir)
     return rp.happens_after(trace, trace.agg(F.min("id")).first()[0])
 

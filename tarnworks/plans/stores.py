@@ -112,14 +112,21 @@ def ring_moved_keys_on_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.moved(_customers(spark, sf_dir), ring.vnodes(spark, _NODES), ring.vnodes(spark, [*_NODES, "node-d"]))
 
 
-_M, _H = bloom.parameters(2000, 0.01)
+#: Hash functions at this rate of false positives, for any number of items; the bits follow the table's rows.
+_RATE = 0.01
+_H = bloom.parameters(1_000_000, _RATE)[1]
+_BITS = f"(SELECT ceil(-greatest(count(*), 1) * ln({_RATE}) / pow(ln(2), 2))::BIGINT FROM part)"
+
+
+def _bits(parts: DataFrame) -> int:
+    return bloom.parameters(max(parts.count(), 1), _RATE)[0]
 
 
 def _half_sql(begin: int) -> str:
     return "('0x' || " + " || ".join(f"substr(md5(p_name), {begin + 14 - 2 * i}, 2)" for i in range(8)) + ")::UBIGINT"
 
 
-_POS = f"pos AS (SELECT p_partkey, p_name, ((({_half_sql(1)})::HUGEINT + ({_half_sql(17)})::HUGEINT * i) % {_M})::INT AS pos FROM part, range({_H}) AS r(i))"
+_POS = f"pos AS (SELECT p_partkey, p_name, ((({_half_sql(1)})::HUGEINT + ({_half_sql(17)})::HUGEINT * i) % {_BITS})::INT AS pos FROM part, range({_H}) AS r(i))"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,24 +135,29 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_POS} SELECT p_name, pos FROM pos")
 def bloom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("p_name", F.explode(bloom.positions(F.col("p_name"), _M, _H)).alias("pos"))
+    parts = _parts(spark, sf_dir)
+    return parts.select("p_name", F.explode(bloom.positions(F.col("p_name"), _bits(parts), _H)).alias("pos"))
 
 
 @query(f"WITH {_POS}, f AS (SELECT DISTINCT pos FROM pos WHERE p_partkey % 2 = 0) SELECT p_name FROM pos GROUP BY p_name HAVING count(DISTINCT pos) = count(DISTINCT CASE WHEN pos IN (SELECT pos FROM f) THEN pos END)")
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
-    return bloom.probe(parts, "p_name", bloom.build(parts.where("p_partkey % 2 = 0"), "p_name", _M, _H), _M, _H)
+    m = _bits(parts)
+    return bloom.probe(parts, "p_name", bloom.build(parts.where("p_partkey % 2 = 0"), "p_name", m, _H), m, _H)
 
 
-@query(f"WITH {_POS}, x AS (SELECT count(DISTINCT pos) AS x FROM pos) SELECT x::BIGINT AS bits_set, round(x / {_M}, 9) AS density, round(pow(x / {_M}, {_H}), 9) AS fp_rate, round(-{_M / _H} * ln(1 - x / {_M}), 4) AS n_estimate FROM x")
+@query(f"WITH {_POS}, x AS (SELECT count(DISTINCT pos) AS x, {_BITS} AS m FROM pos) SELECT x::BIGINT AS bits_set, round(x / m, 9) AS density, round(pow(x / m, {_H}), 9) AS fp_rate, round(-(m / {_H}) * ln(1 - x / m), 4) AS n_estimate FROM x")
 def bloom_density_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.estimates(bloom.build(_parts(spark, sf_dir), "p_name", _M, _H), _M, _H)
+    parts = _parts(spark, sf_dir)
+    m = _bits(parts)
+    return bloom.estimates(bloom.build(parts, "p_name", m, _H), m, _H)
 
 
 @query(f"WITH {_POS} SELECT pos, least(count(*), 15)::BIGINT AS n FROM pos GROUP BY 1")
 def bloom_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
-    halves = [bloom.build(parts.where(f"p_partkey % 2 = {i}"), "p_name", _M, _H) for i in (0, 1)]
+    m = _bits(parts)
+    halves = [bloom.build(parts.where(f"p_partkey % 2 = {i}"), "p_name", m, _H) for i in (0, 1)]
     return bloom.counting(bloom.union(*halves))
 
 
