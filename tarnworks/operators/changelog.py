@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnworks.functions.ordered import with_running
+
 
 def latest(log: DataFrame, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
     """The last entry of each key, deletes included: log compaction. A partial aggregation, so hot keys don't gather."""
@@ -33,10 +35,15 @@ def read_range(log: DataFrame, start: int = 0, end: int | None = None) -> DataFr
 
 
 def consumer_lag(log: DataFrame, positions: DataFrame) -> DataFrame:
-    """positions (consumer, position): entries after each consumer's position, and the log's last position less its own."""
-    last = log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("latest"))
-    pending = positions.join(log.select("seq"), F.col("seq") > F.col("position"), "left").groupBy("consumer").agg(F.count("seq").alias("pending"))
-    return positions.crossJoin(last).join(pending, "consumer").select("consumer", (F.col("latest") - F.col("position")).alias("lag"), "pending")  # last is one row
+    """positions (consumer, position): entries after each consumer's position, and the log's last position less its own.
+
+    Positions are put among the entries and get the running number of entries up to them.
+    """
+    entries = log.select((2 * F.col("seq")).alias("at"), F.lit(1).cast("long").alias("one"))
+    asked = positions.select("consumer", "position", (2 * F.col("position") + 1).alias("at"), F.lit(0).cast("long").alias("one"))
+    upto = with_running(entries.unionByName(asked, allowMissingColumns=True), "at", F.col("one"), "sum", "upto", True).where("one = 0")
+    whole = log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("latest"), F.count("*").alias("entries"))
+    return upto.crossJoin(F.broadcast(whole)).select("consumer", (F.col("latest") - F.col("position")).alias("lag"), (F.col("entries") - F.col("upto")).alias("pending"))  # whole is one row
 
 
 def snapshot_and_tail(log: DataFrame, at: int) -> DataFrame:

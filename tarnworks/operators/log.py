@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnworks.functions.ordered import with_running
+
 
 def md5_bucket(key: Column, n: int) -> Column:
     """The 128-bit md5 of key modulo n, for n up to 128."""
@@ -16,13 +18,13 @@ def md5_bucket(key: Column, n: int) -> Column:
 
 def assign(messages: DataFrame, n: int, order: str = "ts_order") -> DataFrame:
     """messages (key, topic, ...) with part: by key, or dealt round in arrival order per topic for null keys."""
-    deal = F.row_number().over(Window.partitionBy("topic", F.col("key").isNull()).orderBy(order)) - 1
     keyed = messages.where("key IS NOT NULL").withColumn("part", md5_bucket(F.col("key"), n))
-    return keyed.unionByName(messages.where("key IS NULL").withColumn("part", F.pmod(deal, F.lit(n)).cast("int")))
+    keyless = with_running(messages.where("key IS NULL"), order, F.lit(1).cast("long"), "sum", "__nth", True, ("topic",))
+    return keyed.unionByName(keyless.withColumn("part", F.pmod(F.col("__nth") - 1, F.lit(n)).cast("int")).drop("__nth"))
 
 
 def with_offsets(placed: DataFrame, order: str = "ts_order") -> DataFrame:
-    return placed.withColumn("log_offset", F.row_number().over(Window.partitionBy("topic", "part").orderBy(order)).cast("long") - 1)
+    return with_running(placed, order, F.lit(1).cast("long"), "sum", "log_offset", True, ("topic", "part")).withColumn("log_offset", F.col("log_offset") - 1)
 
 
 def compact(log: DataFrame) -> DataFrame:
