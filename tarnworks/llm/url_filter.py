@@ -85,7 +85,7 @@ def fitting_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     tried = places.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
     fits = tried.join(r, "suffix").where(F.col("path").startswith(F.col("start")))
-    rule = F.struct(F.length(F.concat("suffix", "start")).alias("n"), F.concat("suffix", "start").alias("rule"), "verdict")
+    rule = F.struct(F.length(F.concat("suffix", "start")).alias("n"), F.concat("suffix", "start").alias("rule"), (F.col("verdict") == "allow").alias("allows"), "verdict")
     return fits.groupBy("host", "path").agg(F.max(rule).alias("best")).select("host", "path", "best.rule", "best.verdict")
 
 

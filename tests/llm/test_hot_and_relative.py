@@ -63,3 +63,9 @@ def test_relative_aliases_are_resolved(spark):
     rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
     assert [i for i in range(1, 10) if got[i] == "block"] == [1, 2, 3, 4, 5, 6, 7] and len(got) == 9
+
+
+def test_allow_wins_between_rules_of_one_host_and_path(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/x", None)], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("example", "/x", "allow"), ("example", "/x", "block")], "host string, path string, verdict string")
+    assert [r.verdict for r in url_filter.judge_urls(pages, rules).collect()] == ["allow"]
