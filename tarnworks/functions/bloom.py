@@ -35,6 +35,13 @@ def counting(filter_: DataFrame, bits: int = 4) -> DataFrame:
     return filter_.select("pos", F.least("n", F.lit(2**bits - 1).cast("long")).alias("n"))
 
 
+def remove(counters: DataFrame, removed: DataFrame, bits: int = 4) -> DataFrame:
+    """Counters less those of removed items; one that has stopped at its greatest value stays, and none goes below 0."""
+    x = counters.join(removed.select("pos", F.col("n").alias("gone")), "pos", "left")
+    left = F.when(F.col("n") >= 2**bits - 1, F.col("n")).otherwise(F.greatest(F.col("n") - F.coalesce("gone", F.lit(0)), F.lit(0).cast("long")))
+    return x.select("pos", left.alias("n")).where("n > 0")
+
+
 def probe(items: DataFrame, item: str, filter_: DataFrame, m: int, k: int) -> DataFrame:
     """The distinct items all of whose positions are set."""
     asked = items.select(F.col(item).alias(item)).distinct().select(item, F.explode(F.array_distinct(positions(F.col(item), m, k))).alias("pos"))
@@ -54,5 +61,5 @@ def estimates(filter_: DataFrame, m: int, k: int) -> DataFrame:
 def slices(items: DataFrame, order: str, capacity: int, growth: int = 2) -> DataFrame:
     """Items with the slice of a scalable filter that takes each: slice i holds capacity * growth ** i items in arrival order, per group of `order`'s partition."""
     n = F.row_number().over(Window.partitionBy("grp").orderBy(order))
-    at = F.floor(F.log(F.lit(float(growth)), (n - 1) * (growth - 1) / capacity + 1) + F.lit(1e-12)).cast("int")
+    at = F.floor(F.log(float(growth), (n - 1) * (growth - 1) / capacity + 1) + F.lit(1e-12)).cast("int")
     return items.withColumn("slice", at)

@@ -70,6 +70,12 @@ def postings(rows: DataFrame, pk: str, fields: list[str]) -> DataFrame:
     return rows.select(F.col(pk).alias("pk"), pairs.alias("x")).select("x.field", "x.value", "pk").where("value IS NOT NULL").distinct()
 
 
+def pending_index(changes: DataFrame, pk: str, fields: list[str], seq: str, flushed: int) -> DataFrame:
+    """(field, value, pk, visible) of an index whose changes after `flushed` wait: postings of later rows aren't visible yet."""
+    ready = postings(changes.where(F.col(seq) <= flushed), pk, fields).withColumn("visible", F.lit(True))
+    return ready.unionByName(postings(changes.where(F.col(seq) > flushed), pk, fields).withColumn("visible", F.lit(False)))
+
+
 def text_postings(rows: DataFrame, pk: str, fields: list[str]) -> DataFrame:
     """(token, pk): lower-cased tokens between white space, punctuation kept."""
     cut = F.split(F.lower(F.concat_ws(" ", *[F.col(f).cast("string") for f in fields])), r"\s+")

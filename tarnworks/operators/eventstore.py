@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnworks.session import shared_dir
+
 
 def with_versions(events: DataFrame) -> DataFrame:
     return events.withColumn("version", F.row_number().over(Window.partitionBy("stream_id").orderBy("event_id")))
@@ -18,6 +22,22 @@ def read_stream(events: DataFrame, stream_id: object, from_event: int = 0) -> Da
     return events.where((F.col("stream_id") == F.lit(stream_id)) & (F.col("event_id") >= from_event)).orderBy("event_id")
 
 
+def live_projection(events: DataFrame, folds: dict[str, Column], label: str = "projection") -> DataFrame:
+    """State per stream by a streaming aggregation over all events there are now; events is a stream, and its end state is returned.
+
+    Each trigger's state replaces the one before, in the shared folder, so a restarted query goes on from its checkpoint.
+    """
+    spark = events.sparkSession
+    where = f"{shared_dir(spark)}/tarnworks/{label}-{uuid.uuid4().hex}"
+    state = events.groupBy("stream_id").agg(*[c.alias(n) for n, c in folds.items()], F.max("event_id").alias("position"))
+    # the newest trigger's table is the state; older ones are kept until the next has been written
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/state/{n % 2}")
+    run = state.writeStream.outputMode("complete").option("checkpointLocation", f"{where}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = run.lastProgress["batchId"] if run.lastProgress else None
+    return spark.createDataFrame([], state.schema) if last is None else spark.read.schema(state.schema).parquet(f"{where}/state/{last % 2}")
+
+
 def version_conflicts(appends: DataFrame) -> DataFrame:
     """appends with expected_version: those whose stream had another version when they came."""
     return with_versions(appends).where(F.col("expected_version").isNotNull() & (F.col("expected_version") != F.col("version") - 1))

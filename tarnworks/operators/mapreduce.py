@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 Pairs = Iterable[tuple]
@@ -18,6 +18,7 @@ Pairs = Iterable[tuple]
 class MapReduceJob:
     def __init__(self, mapper: Callable[..., Pairs], reducer: Callable[..., Pairs], schema: str = "key string, value long", combiner: Callable[..., Pairs] | None = None, fault_tolerant: bool = False):
         self.mapper, self.reducer, self.combiner, self.schema, self.fault_tolerant = mapper, reducer, combiner, schema, fault_tolerant
+        self._seen: dict[str, Observation] = {}
 
     def run(self, records: DataFrame) -> DataFrame:
         """Reduced records, ordered by key. With fault_tolerant, records or keys whose function raises are left out; combiners always raise."""
@@ -49,7 +50,19 @@ class MapReduceJob:
                 out = []
             return pd.DataFrame(out, columns=["key", "value"])
 
-        return records.select("key", "value").mapInPandas(mapped, self.schema).groupBy("key").applyInPandas(reduced, self.schema).orderBy("key")
+        def counted(df: DataFrame, name: str) -> DataFrame:
+            seen = self._seen[name] = Observation(f"job {id(self)} {name}")
+            return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+        self._seen = {}
+        given = counted(records.select("key", "value"), "input_records")
+        pairs = counted(given.mapInPandas(mapped, self.schema), "shuffled_records")
+        # counted behind the sort, which reads its input twice to find ranges
+        return counted(pairs.groupBy("key").applyInPandas(reduced, self.schema).orderBy("key"), "output_records")
+
+    def stats(self) -> dict[str, int]:
+        """Records read, shuffled (mapped and combined) and put out by the last run, known once its frame has been computed."""
+        return {name: seen.get["rows"] for name, seen in self._seen.items()}
 
 
 class MapReducePipeline:

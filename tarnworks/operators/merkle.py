@@ -39,6 +39,28 @@ def proof(leaves: DataFrame, n: int, idx: int) -> DataFrame:
     return out if out is not None else leaves.sparkSession.createDataFrame([], "level int, idx long, hash string")
 
 
+def verify(leaf: DataFrame, path: DataFrame, root_hash: DataFrame) -> DataFrame:
+    """(valid): whether a leaf (idx, data) and its proof (level, idx, hash) give the root (root_hash). A proof has a row for each level."""
+    steps = path.agg(F.sort_array(F.collect_list(F.struct("level", F.col("idx").alias("at"), "hash"))).alias("steps"))
+    up = lambda h, s: F.sha2(F.when(s["at"] % 2 == 1, F.concat(h, s["hash"])).otherwise(F.concat(s["hash"], h)), 256)
+    one = leaf.select("data").crossJoin(steps).crossJoin(root_hash.select("root_hash"))  # one row each
+    return one.select((F.aggregate("steps", F.sha2("data", 256), up) == F.col("root_hash")).alias("valid"))
+
+
+def update_leaf(leaves: DataFrame, idx: int, data: str) -> DataFrame:
+    return leaves.withColumn("data", F.when(F.col("idx") == idx, F.lit(data)).otherwise(F.col("data")))
+
+
+def diff_descend(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """Indices of differing leaves of two trees of n leaves, from the root down: only children of differing nodes are compared."""
+    below = None
+    for x, y in zip(reversed(levels(a, n)), reversed(levels(b, n)), strict=True):
+        if below is not None:
+            x = x.join(below, F.floor(F.col("idx") / 2) == F.col("up"), "left_semi")
+        below = x.join(y.withColumnRenamed("hash", "other"), "idx").where("hash <> other").select(F.col("idx").alias("up"))
+    return below.select(F.col("up").alias("idx"))
+
+
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Indices of leaves that differ, by position."""
     x = a.select("idx", F.sha2("data", 256).alias("x"))

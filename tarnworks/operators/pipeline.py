@@ -23,6 +23,16 @@ def tokenize(df: DataFrame, text: str = "text", lowercase: bool = True, strip_pu
     return out.where(F.length("key") >= max(1, min_length)).select("key", F.lit(1).cast("long").alias("value"))
 
 
+def flat_map(items: Column) -> Callable[[DataFrame], DataFrame]:
+    """A stage that makes records of the structs (key, value) of an array; none of a null or empty one."""
+    return lambda df: df.select(F.explode(items).alias("x")).select("x.key", "x.value")
+
+
+def keep(condition: Column) -> Callable[[DataFrame], DataFrame]:
+    """A stage that keeps the records for which the condition holds."""
+    return lambda df: df.where(condition)
+
+
 def count(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     return df.groupBy(F.col(key).alias("key")).agg(F.sum(value).alias("value"))
 
@@ -48,17 +58,23 @@ class Pipeline:
 
     def __init__(self) -> None:
         self.stages: list[tuple[str, Callable[[DataFrame], DataFrame]]] = []
-        self._seen: list[tuple[str, Observation]] = []
+        self._sorts: set[int] = set()
+        self._seen: list[tuple[str, Observation | None]] = []
 
-    def add_stage(self, name: str, stage: Callable[[DataFrame], DataFrame]) -> Pipeline:
+    def add_stage(self, name: str, stage: Callable[[DataFrame], DataFrame], sorts: bool = False) -> Pipeline:
+        """sorts: the stage puts all its rows in order, for which it reads them twice; they are counted behind it only."""
+        if sorts:
+            self._sorts.add(len(self.stages))
         self.stages.append((name, stage))
         return self
 
     def build(self, df: DataFrame) -> DataFrame:
         self._seen = []
-        for name, stage in [("input", lambda d: d), *self.stages]:
-            seen = Observation(f"stage {len(self._seen)} {name}")
-            df = stage(df).observe(seen, F.count(F.lit(1)).alias("rows"))
+        for i, (name, stage) in enumerate([("input", lambda d: d), *self.stages]):
+            df, seen = stage(df), None
+            if i not in self._sorts:
+                seen = Observation(f"stage {i} {name}")
+                df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
             self._seen.append((name, seen))
         return df
 
@@ -73,5 +89,7 @@ class Pipeline:
 
     def stats(self) -> list[dict]:
         """Rows in and out of each stage of the last run."""
-        rows = [(name, seen.get["rows"]) for name, seen in self._seen]
+        rows: list[tuple[str, int]] = []
+        for name, seen in reversed(self._seen):
+            rows.insert(0, (name, seen.get["rows"] if seen else rows[0][1]))
         return [{"stage": name, "records_in": a, "records_out": n} for (name, n), (_, a) in zip(rows[1:], rows, strict=False)]

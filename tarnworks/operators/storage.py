@@ -32,6 +32,11 @@ def range_scan(rows: DataFrame, start: object, end: object | None = None) -> Dat
     return (out if end is None else out.where(F.col("key") < F.lit(end))).orderBy("key")
 
 
+def prefix_scan(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows whose key begins with the prefix, in order; all rows for an empty one. The scan reads it as a range of keys."""
+    return rows.where(F.col("key").startswith(prefix)).orderBy("key")
+
+
 def extrema(rows: DataFrame) -> DataFrame:
     return rows.agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("n_keys"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnworks.operators import joins, mapreduce, pipeline
 from tarnworks.plans.registry import query
-from tarnworks.sources.tables import micros, table
+from tarnworks.session import shared_dir, stash
+from tarnworks.sources.tables import lines, micros, stream, table
 from tarnworks.streaming import stream_join
 
 _WORDS = r"""w AS (SELECT lower(regexp_replace(x, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g')) AS key
@@ -173,3 +176,98 @@ def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _stream(spark, sf_dir)
     m = stream_join.stream_join_exact(ev, HOUR, LATE).join(ev.select(F.col("seq").alias("left_seq"), "k"), "left_seq")
     return stream_join.tumbling(m, HOUR)
+
+
+#: Records of the priority's words, without the number before them.
+_PRIORITY = "SELECT unnest(string_split(lower(o_orderpriority), '-')) AS key FROM orders"
+
+
+def _priority_words() -> pipeline.Pipeline:
+    pairs = F.transform(F.split(F.lower("o_orderpriority"), "-"), lambda w: F.struct(w.alias("key"), F.lit(1).cast("long").alias("value")))
+    return pipeline.Pipeline().add_stage("flat_map", pipeline.flat_map(pairs)).add_stage("filter", pipeline.keep(F.length("key") > 1)).add_stage("count", pipeline.count).add_stage("sort", pipeline.sort, sorts=True)
+
+
+@query(f"SELECT key, count(*)::BIGINT AS value FROM ({_PRIORITY}) WHERE length(key) > 1 GROUP BY 1 ORDER BY 1")
+def pipeline_flat_map_filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _priority_words().build(table(spark, sf_dir, "orders"))
+
+
+@query(f"WITH w AS ({_PRIORITY}), n AS (SELECT (SELECT count(*) FROM orders) AS a, count(*) AS b, count(*) FILTER (length(key) > 1) AS c, count(DISTINCT key) FILTER (length(key) > 1) AS d FROM w) SELECT 'flat_map' AS stage, a::BIGINT AS records_in, b::BIGINT AS records_out FROM n UNION ALL SELECT 'filter', b, c FROM n UNION ALL SELECT 'count', c, d FROM n UNION ALL SELECT 'sort', d, d FROM n")
+def pipeline_stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _priority_words()
+    p.run_to_file(table(spark, sf_dir, "orders"), f"{shared_dir(spark)}/tarnworks/run-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(s["stage"], s["records_in"], s["records_out"]) for s in p.stats()], "stage string, records_in long, records_out long")
+
+
+@query("SELECT o_orderstatus AS part, count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def pipeline_partition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tarnworks/parts-{uuid.uuid4().hex}"
+    pipeline.partition_to(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus"), path)
+    return spark.read.schema("o_orderkey long, part string").json(path).groupBy("part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS line_no, n_name AS text FROM nation")
+def read_lines_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tarnworks/lines-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select("n_name").write.text(path)
+    return lines(spark, path)
+
+
+def _per_customer() -> mapreduce.MapReduceJob:
+    return mapreduce.MapReduceJob(lambda _, cust: [(str(cust), 1)], lambda k, values: [(k, len(values))])
+
+
+@query("SELECT n::VARCHAR AS key, count(*)::BIGINT AS value FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1")
+def mapreduce_two_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_custkey").alias("value"))
+    add = lambda k, values: [(k, sum(values))]
+    return mapreduce.MapReducePipeline().add_stage(_per_customer()).add_stage(mapreduce.MapReduceJob(lambda _, n: [(str(n), 1)], add, combiner=add)).run(orders)
+
+
+@query("SELECT count(*)::BIGINT AS input_records, count(*)::BIGINT AS shuffled_records, count(DISTINCT o_custkey)::BIGINT AS output_records FROM orders")
+def mapreduce_job_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = _per_customer()
+    stash(job.run(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"))), "job")
+    s = job.stats()
+    return spark.createDataFrame([(s["input_records"], s["shuffled_records"], s["output_records"])], "input_records long, shuffled_records long, output_records long")
+
+
+@query("SELECT count(*)::BIGINT AS n_rows, count(DISTINCT o_custkey)::BIGINT AS n_keys, 0::BIGINT AS split_keys, 0::BIGINT AS outside FROM orders WHERE o_custkey % 7 <> 0")
+def join_partition_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("k"))
+    keys = joins.partition_dataset(o, "k", 8).groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    return keys.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.count_if(F.col("lo") != F.col("hi")).alias("split_keys"), F.count_if((F.col("lo") < 0) | (F.col("hi") > 7)).alias("outside"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey NULLS LAST, o_orderkey")
+def join_sort_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.sort_dataset(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+#: Later than all events.
+_ADVANCED = 4_000_000_000_000_000
+
+
+@query(f"WITH {_EV} SELECT left_seq, right_seq, join_ts FROM m UNION ALL SELECT seq, NULL, ts FROM a WHERE side = 'L' AND seq NOT IN (SELECT left_seq FROM m)")
+def stream_join_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_join.stream_join_exact(_stream(spark, sf_dir), HOUR, LATE, "left", advance_to=_ADVANCED)
+
+
+@query(f"WITH {_EV}, e2 AS (SELECT (max(ts) // {2 * HOUR}) * {HOUR} AS e FROM ev) SELECT k, (join_ts // {HOUR}) * {HOUR} AS window_start, (join_ts // {HOUR}) * {HOUR} + {HOUR} AS window_end, count(*)::BIGINT AS n FROM m, e2 GROUP BY k, window_start, window_end, e HAVING window_end <= (e // {HOUR}) * {HOUR}")
+def tumbling_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = _stream(spark, sf_dir)
+    half = ev.agg(F.max("ts")).first()[0] // (2 * HOUR) * HOUR
+    m = stream_join.stream_join_exact(ev, HOUR, LATE).join(ev.select(F.col("seq").alias("left_seq"), "k"), "left_seq")
+    return stream_join.tumbling(m, HOUR, closed_by=half)
+
+
+@query("SELECT l.event_id AS left_seq, r.event_id AS right_seq FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'view' AND r.event_type = 'click' AND r.ts BETWEEN l.ts - INTERVAL 1 HOUR AND l.ts + INTERVAL 1 HOUR")
+def stream_join_live_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Structured Streaming join, run over all files there are; the lateness covers the recorded span, so no event is late."""
+    e = stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "event_type")
+    sides = [e.where(F.col("event_type") == t).drop("event_type") for t in ("view", "click")]
+    where = f"{shared_dir(spark)}/tarnworks/live-{uuid.uuid4().hex}"
+    joined = stream_join.stream_join_live(*sides, "1 HOUR", "400 days").select("left_seq", "right_seq")
+    run = joined.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start(f"{where}/rows")
+    run.awaitTermination()
+    return spark.read.schema(joined.schema).parquet(f"{where}/rows")

@@ -9,7 +9,7 @@ from tarnworks.operators import changelog as cl
 from tarnworks.operators import eventstore as es
 from tarnworks.operators import log as lg
 from tarnworks.plans.registry import query
-from tarnworks.sources.tables import CHANGELOG_SQL, changelog, micros, table
+from tarnworks.sources.tables import CHANGELOG_SQL, changelog, micros, stream, table
 
 _L = f"log AS ({CHANGELOG_SQL}), ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn, lag(value) OVER w AS before, lag(op) OVER w AS was FROM log WINDOW w AS (PARTITION BY key ORDER BY seq)), live AS (SELECT * FROM ranked WHERE rn = 1 AND op = 'PUT')"
 
@@ -179,3 +179,15 @@ def log_group_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.createDataFrame([("click", p, 5) for p in range(4)], "topic string, part int, position long")
     return lg.poll(_placed(spark, sf_dir), start, 100).select("topic", "part", "log_offset")
+
+
+@query("SELECT event_id, user_id AS stream_id, event_type FROM events WHERE user_id = (SELECT min(user_id) FROM events) AND event_id >= 100 ORDER BY 1")
+def es_read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("stream_id"), "event_type")
+    return es.read_stream(events, events.agg(F.min("stream_id")).first()[0], 100)
+
+
+@query("SELECT user_id AS stream_id, count(*)::BIGINT AS n, count(*) FILTER (event_type = 'purchase')::BIGINT AS purchases, max(event_id) AS position FROM events GROUP BY 1")
+def es_live_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = stream(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("stream_id"), "event_type")
+    return es.live_projection(events, {"n": F.count("*"), "purchases": F.count_if(F.col("event_type") == "purchase")})

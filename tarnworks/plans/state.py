@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnworks.operators import replicas as rp
+from tarnworks.operators import storage
 from tarnworks.operators import transactions as tx
 from tarnworks.plans.registry import query
 from tarnworks.sources.tables import table
@@ -248,8 +249,21 @@ def total_order_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.delivered_prefix(slots)
 
 
-@query()
+#: A step of the recursion is one op of every register.
+_REGISTER = "o AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_type AS v, event_type = 'purchase' AS cas FROM events), r AS (SELECT key, 1::BIGINT AS rn, CASE WHEN NOT cas THEN v END AS state FROM o WHERE rn = 1 UNION ALL SELECT o.key, o.rn, CASE WHEN NOT o.cas OR r.state = 'view' THEN o.v ELSE r.state END FROM r JOIN o ON o.key = r.key AND o.rn = r.rn + 1)"
+
+
+@query(f"WITH RECURSIVE {_REGISTER} SELECT key, arg_max(coalesce(state, ''), rn) AS value FROM r GROUP BY 1")
 def linearizable_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "cas").otherwise("write")
-    return rp.register_state(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("slot"), kind.alias("kind"), F.lit("view").alias("expected"), F.col("event_type").alias("value")))
+    state = rp.register_state(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("slot"), kind.alias("kind"), F.lit("view").alias("expected"), F.col("event_type").alias("value")))
+    return state.select("key", F.coalesce("value", F.lit("")).alias("value"))
+
+
+@query(f"WITH {_V}, ok AS (SELECT o_orderkey AS t FROM orders WHERE {_OK}) SELECT c_name AS key, arg_max(value, created_by) AS value FROM v JOIN customer ON key = c_custkey WHERE starts_with(c_name, 'Customer#0000000') AND created_by IN (SELECT t FROM ok) AND (deleted_by IS NULL OR deleted_by NOT IN (SELECT t FROM ok)) GROUP BY 1 ORDER BY 1")
+def mvcc_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx"), F.when(F.col("o_orderkey") % 9 == 0, "aborted").otherwise("committed").alias("status"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_name").alias("key"))
+    versions = _versions(spark, sf_dir).withColumnRenamed("key", "cust").join(names, "cust").drop("cust")
+    return storage.prefix_scan(tx.visible(versions, txs, 1000, [500, 501]), "Customer#0000000")

@@ -67,7 +67,10 @@ def range_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.agg(F.sum("n").alias("n_keys"), (F.max("n") <= 100).alias("small_enough")).crossJoin(n_crossing).select("n_keys", "small_enough", (F.col("x") == 0).alias("disjoint"))  # one row each
 
 
-@query()
+_MERGED = "s AS (SELECT row_number() OVER (ORDER BY c_nationkey) AS rn, c_nationkey::BIGINT AS part, count(*)::BIGINT AS n FROM customer GROUP BY c_nationkey), r AS (SELECT rn, part AS start_part, n FROM s WHERE rn = 1 UNION ALL SELECT s.rn, CASE WHEN r.n + s.n <= (SELECT count(*) // 6 FROM customer) THEN r.start_part ELSE s.part END, CASE WHEN r.n + s.n <= (SELECT count(*) // 6 FROM customer) THEN r.n + s.n ELSE s.n END FROM r JOIN s ON s.rn = r.rn + 1)"
+
+
+@query(f"WITH RECURSIVE {_MERGED} SELECT start_part, max(n) AS n FROM r GROUP BY 1")
 def range_merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("part")).agg(F.count("*").alias("n"))
     least = sizes.agg(F.sum("n")).first()[0] // 6
@@ -277,3 +280,65 @@ def schema_compat_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zigzag_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(-F.col("event_id") - 1)
     return table(spark, sf_dir, "events").select("event_id", avro.zigzag(n).alias("zigzag")).select("event_id", "zigzag", avro.unzigzag(F.col("zigzag")).alias("back"))
+
+
+@query(f"SELECT {_bucket_sql('p_partkey::VARCHAR', 4)} AS doc_part, p_partkey AS pk, p_name FROM part WHERE p_size BETWEEN 10 AND 12")
+def idx_doc_query_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").where(F.col("p_size").between(10, 12))
+    return part.select(lg.md5_bucket(F.col("p_partkey").cast("string"), 4).alias("doc_part"), F.col("p_partkey").alias("pk"), "p_name")
+
+
+@query("SELECT CASE WHEN v < 'h' THEN 0 WHEN v < 'p' THEN 1 ELSE 2 END AS term_part, count(*)::BIGINT AS n_postings, count(DISTINCT v)::BIGINT AS n_terms FROM (SELECT lower(p_type) AS v, p_partkey FROM part UNION ALL SELECT lower(p_brand), p_partkey FROM part) GROUP BY 1")
+def idx_term_range_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = cl.postings(table(spark, sf_dir, "part"), "p_partkey", ["p_type", "p_brand"]).select(F.lower("value").alias("key"), "pk")
+    bounds = spark.createDataFrame([(0, ""), (1, "h"), (2, "p")], "part int, start_key string")
+    routed = storage.route(index, bounds).groupBy("part", "key").agg(F.count("*").alias("n"))
+    return routed.groupBy(F.col("part").alias("term_part")).agg(F.sum("n").alias("n_postings"), F.count("*").alias("n_terms"))
+
+
+@query("WITH f AS (SELECT floor(median(p_partkey) + 0.5)::BIGINT AS half FROM part) SELECT 'p_brand' AS field, p_brand AS value, p_partkey <= f.half AS visible, count(*)::BIGINT AS n FROM part, f GROUP BY ALL")
+def idx_deferred_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    flushed = int(part.agg(F.expr("percentile(p_partkey, 0.5)")).first()[0] + 0.5)
+    index = cl.pending_index(part, "p_partkey", ["p_brand"], "p_partkey", flushed)
+    return index.groupBy("field", "value", "visible").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_name AS key, p_partkey FROM part WHERE starts_with(p_name, 'Part#0000001') ORDER BY 1")
+def kv_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.prefix_scan(table(spark, sf_dir, "part").select(F.col("p_name").alias("key"), "p_partkey"), "Part#0000001")
+
+
+@query(f"WITH {_POS}, c AS (SELECT pos, least(count(*), 15)::BIGINT AS n, count(*) FILTER (p_partkey % 3 = 0)::BIGINT AS gone FROM pos GROUP BY 1) SELECT pos, CASE WHEN n >= 15 THEN n ELSE greatest(n - gone, 0) END AS n FROM c WHERE CASE WHEN n >= 15 THEN n ELSE greatest(n - gone, 0) END > 0")
+def bloom_counting_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(spark, sf_dir)
+    m = _bits(parts)
+    return bloom.remove(bloom.counting(bloom.build(parts, "p_name", m, _H)), bloom.build(parts.where("p_partkey % 3 = 0"), "p_name", m, _H))
+
+
+@query("WITH s AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part) SELECT p_brand, CASE WHEN i < 4 THEN 0 WHEN i < 12 THEN 1 WHEN i < 28 THEN 2 WHEN i < 60 THEN 3 WHEN i < 124 THEN 4 WHEN i < 252 THEN 5 ELSE 6 + floor(log2((i + 4) / 256))::INT END AS slice, count(*)::BIGINT AS n FROM s GROUP BY ALL")
+def bloom_scalable_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_brand").alias("grp"))
+    return bloom.slices(parts, "p_partkey", 4).groupBy("p_brand", "slice").agg(F.count("*").alias("n"))
+
+
+@query("SELECT unnest(['given', 'changed']) AS leaf, unnest([true, false]) AS valid")
+def merkle_verify_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = _leaves(spark, sf_dir)
+    path, top, leaf = merkle.proof(leaves, 25, 11), merkle.root(leaves, 25), leaves.where("idx = 11")
+    given = merkle.verify(leaf, path, top).select(F.lit("given").alias("leaf"), "valid")
+    return given.unionByName(merkle.verify(merkle.update_leaf(leaf, 11, "other"), path, top).select(F.lit("changed").alias("leaf"), "valid"))
+
+
+_T2 = _T.replace("coalesce(n_nationkey::VARCHAR", "coalesce(CASE WHEN i = 11 THEN 'other' END, n_nationkey::VARCHAR")
+
+
+@query(f"WITH {_T2} SELECT hash AS root_hash FROM l5")
+def merkle_update_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.root(merkle.update_leaf(_leaves(spark, sf_dir), 11, "other"), 25)
+
+
+@query("SELECT n_nationkey::BIGINT AS idx FROM nation WHERE n_nationkey % 9 = 4")
+def merkle_diff_descend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _leaves(spark, sf_dir)
+    return merkle.diff_descend(a, a.withColumn("data", F.when(F.col("idx") % 9 == 4, F.concat("data", F.lit("!"))).otherwise(F.col("data"))), 25)

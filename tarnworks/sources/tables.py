@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's files as a stream; the table is a file or a folder of files."""
+    static = table(spark, sf_dir, name)
+    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern, since a plain path must be a folder
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without a time zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)

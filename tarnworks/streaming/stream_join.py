@@ -22,9 +22,11 @@ def accepted(events: DataFrame, lateness: int) -> DataFrame:
     return with_watermark_before(events).where(F.col("wb").isNull() | (F.col("ts") >= F.col("wb") - lateness))
 
 
-def stream_join_exact(events: DataFrame, window: int, lateness: int, how: str = "inner") -> DataFrame:
+def stream_join_exact(events: DataFrame, window: int, lateness: int, how: str = "inner", advance_to: int | None = None) -> DataFrame:
     """(left_seq, right_seq, join_ts) of matches and, for left and full, of expired events without one. how: inner, left or full.
 
+    advance_to moves the watermark forward after the last arrival, so that events before it expire too; it never moves back.
+
     The band is met through time buckets as wide as it, so that a hot key's pairs are dealt by time too.
     """
     if how not in ("inner", "left", "full"):
@@ -37,7 +39,7 @@ def stream_join_exact(events: DataFrame, window: int, lateness: int, how: str =
     out = m.select(F.col("ls").alias("left_seq"), F.col("rs").alias("right_seq"), F.greatest("lt", "rt").alias("join_ts"))
     if how == "inner":
         return out
-    last = events.agg(F.max("ts").alias("w"))
+    last = events.agg(F.greatest(F.max("ts"), F.lit(advance_to).cast("long")).alias("w"))
     expired = a.join(F.broadcast(last), F.col("ts") < F.col("w") - window)  # one row
     misses = expired.where("side = 'L'").join(m.select(F.col("ls").alias("seq")), "seq", "left_anti").select(F.col("seq").alias("left_seq"), F.lit(None).cast("long").alias("right_seq"), F.col("ts").alias("join_ts"))
     out = out.union(misses)
