@@ -48,8 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds token_ids, and decodes: whether the ids decode to the text."""
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.withColumn("decodes", F.col("decoded_bytes") == F.coalesce("text", F.lit("")).cast("binary")).drop("decoded_bytes")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=None, decodes="decodes")
 
 
 STAGES = [

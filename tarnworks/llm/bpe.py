@@ -336,35 +336,38 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded_bytes", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded_bytes", digests: bool = False, decodes: str | None = None) -> DataFrame:
     """docs with the token ids of `text` (array<int>) and, if asked for, the bytes that the ids decode to.
 
-    With digests, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256 take their place.
+    `decodes` names a column that tells whether the ids decode to the text, without sending the bytes. With digests, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256 take their place.
     """
     small_batches(docs)
-    own = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
+    own = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {}) | ({decodes: T.BooleanType()} if decodes else {})
     names = list(own)
     # digests need no more of the text than its own batch, so that column isn't sent back
     keep = [c for c in docs.columns if c not in names and not (digests and c == text)]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name, kind in own.items():
         schema = schema.add(name, kind)
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    # a text that is sent back anyway isn't sent to the workers twice
+    source = text if text in keep else "__text"
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if source == text else [F.col(f"`{text}`").alias("__text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_codec = codec(path, pattern)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = [t or "" for t in batch.column(source).to_pylist()]
             for a, b in slices(texts, SLICE_CHARS):
                 got = own_codec.encode(texts[a:b])
                 columns = [batch.column(c).slice(a, b - a) for c in keep]
-                if digests or decoded:
+                if digests or decoded or decodes:
                     back = own_codec.decode(got)
                 if digests:
                     columns += [pa.array([len(x) for x in got], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in got]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
                 else:
                     columns.append(pa.array([x.astype(np.int32) for x in got], pa.list_(pa.int32())))
                     columns += [pa.array(back, pa.binary())] if decoded else []
+                    columns += [pa.array([x == t.encode() for x, t in zip(back, texts[a:b], strict=True)], pa.bool_())] if decodes else []
                 yield pa.RecordBatch.from_arrays(columns, names=keep + names)
         own_codec.close()
         trim()
